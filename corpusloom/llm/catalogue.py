@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import overlap
+from corpusloom.llm import encode, grouped, overlap
 
-_MODULES = (overlap,)
+_MODULES = (overlap, grouped, encode)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

@@ -30,8 +30,10 @@ from corpusloom.session import written
 
 MIN_WORDS = 50
 Q = 4
-#: Sizes of what is broadcast: 8 MB for each bitmap, 8 MB for the sketch, whatever the input.
-BITMAP_BITS, SKETCH_BITS = 26, 22
+#: Sizes of what is broadcast, whatever the input: 8 MB for a bitmap, 16 MB for that of wanted places, 8 MB for the sketch.
+BITMAP_BITS, PLACE_BITS, SKETCH_BITS = 26, 27, 22
+#: Lengths of two texts that may overlap are in the same or neighbouring classes of this ratio (a bit over 10/9).
+RATIO = 1.1112
 _TEXTS = "id string, at timestamp, side string, n int, fp bigint, b0 bigint, b1 bigint, ws array<int>"
 
 
@@ -158,6 +160,30 @@ def _rows(part: pa.RecordBatch, hs: list[np.ndarray], segs: list[np.ndarray]) ->
     return pa.RecordBatch.from_arrays(cols, ["seg", "fp", "n", "pos", "b0", "b1"])
 
 
+def _class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / np.log(RATIO)).astype(np.int64)
+
+
+def _width(of_class: np.ndarray) -> np.ndarray:
+    """At least the words by which a segment of a training text in this class may be moved."""
+    return np.floor(0.1 * RATIO ** (of_class + 2)).astype(np.int64) + 1
+
+
+def _place(seg: np.ndarray, of_class: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return mixed(seg + of_class.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + bucket.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _wanted_places(batch: pa.RecordBatch) -> np.ndarray:
+    """Segment, length class and part of the text of every place in a training text that a cut segment may match."""
+    seg, n, pos = (batch.column(c).to_numpy() for c in ("seg", "n", "pos"))
+    seg, own = seg.view(np.uint64), _class(n)
+    out = []
+    for near in (-1, 0, 1):
+        width = _width(own + near)
+        out += [_place(seg, own + near, pos // width + by) for by in (-1, 0, 1)]
+    return np.concatenate(out)
+
+
 def _substrings(bitmap):
     """The same rows of all places of training texts where a wanted segment may stand."""
 
@@ -166,7 +192,12 @@ def _substrings(bitmap):
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 hs = [grams(w, Q) for w in _arrays(part.column("ws"))]
-                yield _rows(part, hs, [np.flatnonzero(bitmap_has(bitmap.value, BITMAP_BITS, h)) for h in hs])
+                own = _class(part.column("n").to_numpy())
+                count = [len(h) for h in hs]
+                pos = np.concatenate([np.arange(c) for c in count]) if hs else np.empty(0, np.int64)
+                c = np.repeat(own, count)
+                has = bitmap_has(bitmap.value, PLACE_BITS, _place(np.concatenate(hs), c, pos // _width(c)))
+                yield _rows(part, hs, [np.flatnonzero(x) for x in np.split(has, np.cumsum(count)[:-1])])
 
     return run
 
@@ -181,7 +212,7 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     all_grams = lambda b: np.concatenate([grams(w, Q) for w in _arrays(b.column("ws"))] or [np.empty(0, np.uint64)])
     there, counts = gather(train.select("ws"), all_grams, bitmap=BITMAP_BITS, sketch=SKETCH_BITS)
     cut = written(ev.mapInArrow(_segments(sc.broadcast(counts), sc.broadcast(there)), _SEGMENT).dropDuplicates(["seg", "fp", "pos"]), "segments")
-    wanted, _ = gather(cut.select("seg"), lambda b: b.column("seg").to_numpy().view(np.uint64), bitmap=BITMAP_BITS)
+    wanted, _ = gather(cut.select("seg", "n", "pos"), _wanted_places, bitmap=PLACE_BITS)
     found = train.mapInArrow(_substrings(sc.broadcast(wanted)), _SEGMENT).dropDuplicates(["seg", "fp", "pos"])
     e, t = cut.alias("e"), found.alias("t")
     longer = F.greatest("e.n", "t.n")
