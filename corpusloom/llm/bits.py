@@ -19,14 +19,19 @@ PART = 1 << 16
 _SCHEMA = "part int, kind int, cells binary"
 
 
+def _probes(bits: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits for each hash."""
+    return hashes >> np.uint64(64 - bits), (hashes * np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - bits)
+
+
 def bitmap_add(cells: np.ndarray, bits: int, hashes: np.ndarray) -> None:
-    i = hashes >> np.uint64(64 - bits)
-    np.bitwise_or.at(cells, (i >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (i & np.uint64(7)).astype(np.uint8)))
+    for i in _probes(bits, hashes):
+        np.bitwise_or.at(cells, (i >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (i & np.uint64(7)).astype(np.uint8)))
 
 
 def bitmap_has(cells: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-    i = hashes >> np.uint64(64 - bits)
-    return (cells[(i >> np.uint64(3)).astype(np.int64)] >> (i & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+    one, two = ((cells[(i >> np.uint64(3)).astype(np.int64)] >> (i & np.uint64(7)).astype(np.uint8)) & np.uint8(1) for i in _probes(bits, hashes))
+    return (one & two) == 1
 
 
 def sketch_add(cells: np.ndarray, bits: int, hashes: np.ndarray) -> None:

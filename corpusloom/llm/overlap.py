@@ -30,8 +30,8 @@ from corpusloom.session import written
 
 MIN_WORDS = 50
 Q = 4
-#: Sizes of what is broadcast, whatever the input: 8 MB for a bitmap, 16 MB for that of wanted places, 8 MB for the sketch.
-BITMAP_BITS, PLACE_BITS, SKETCH_BITS = 26, 27, 22
+#: Sizes of what is broadcast, whatever the input: 8 MB for a bitmap, 32 MB for that of wanted places, 8 MB for the sketch.
+BITMAP_BITS, PLACE_BITS, SKETCH_BITS = 26, 28, 22
 #: Lengths of two texts that may overlap are in the same or neighbouring classes of this ratio (a bit over 10/9).
 RATIO = 1.1112
 _TEXTS = "id string, at timestamp, side string, n int, fp bigint, b0 bigint, b1 bigint, ws array<int>"
@@ -205,15 +205,33 @@ def _substrings(bitmap):
 _SEGMENT = "seg bigint, fp bigint, n int, pos int, b0 bigint, b1 bigint"
 
 
+def one_of_each(texts: DataFrame) -> DataFrame:
+    """One row for each distinct text of a side; only texts that may have come more than once are shuffled."""
+    often = texts.groupBy("fp", "side").agg(F.count("*").alias("c")).where("c > 1").select("fp")
+    cells = texts.sparkSession.sparkContext.broadcast(gather(often, _fp_hash, bitmap=BITMAP_BITS - 3)[0])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("often", pa.array(bitmap_has(cells.value, BITMAP_BITS - 3, _fp_hash(batch))))
+
+    rows = texts.select("side", "fp", "n", "b0", "b1", "ws").mapInArrow(marked, "side string, fp bigint, n int, b0 bigint, b1 bigint, ws array<int>, often boolean")
+    once = rows.where("not often").drop("often")
+    return once.unionByName(rows.where("often").drop("often").dropDuplicates(["side", "fp"]))
+
+
+def _fp_hash(batch: pa.RecordBatch) -> np.ndarray:
+    return mixed(batch.column("fp").to_numpy().view(np.uint64))
+
+
 def candidate_pairs(texts: DataFrame) -> DataFrame:
     """Pairs (fp_e, fp_t) of distinct texts that share a segment at an allowed place and aren't told apart by their bits."""
     sc = texts.sparkSession.sparkContext
     train, ev = texts.where("side = 'train'"), texts.where("side = 'eval'")
     all_grams = lambda b: np.concatenate([grams(w, Q) for w in _arrays(b.column("ws"))] or [np.empty(0, np.uint64)])
     there, counts = gather(train.select("ws"), all_grams, bitmap=BITMAP_BITS, sketch=SKETCH_BITS)
-    cut = written(ev.mapInArrow(_segments(sc.broadcast(counts), sc.broadcast(there)), _SEGMENT).dropDuplicates(["seg", "fp", "pos"]), "segments")
+    cut = written(ev.mapInArrow(_segments(sc.broadcast(counts), sc.broadcast(there)), _SEGMENT), "segments")
     wanted, _ = gather(cut.select("seg", "n", "pos"), _wanted_places, bitmap=PLACE_BITS)
-    found = train.mapInArrow(_substrings(sc.broadcast(wanted)), _SEGMENT).dropDuplicates(["seg", "fp", "pos"])
+    found = train.mapInArrow(_substrings(sc.broadcast(wanted)), _SEGMENT)
     e, t = cut.alias("e"), found.alias("t")
     longer = F.greatest("e.n", "t.n")
     apart = longer - F.floor((longer * 9 + 9) / 10)
@@ -238,13 +256,12 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     sc = texts.sparkSession.sparkContext
     pairs = written(candidate_pairs(texts), "pairs")
     ends = pairs.select(F.explode(F.array("fp_e", "fp_t")).alias("fp"))
-    as_hash = lambda b: mixed(b.column("fp").to_numpy().view(np.uint64))
-    wanted, _ = gather(ends, as_hash, bitmap=BITMAP_BITS - 3)
+    wanted, _ = gather(ends, _fp_hash, bitmap=BITMAP_BITS - 3)
     cells = sc.broadcast(wanted)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(bitmap_has(cells.value, BITMAP_BITS - 3, as_hash(batch))))
+            yield batch.filter(pa.array(bitmap_has(cells.value, BITMAP_BITS - 3, _fp_hash(batch))))
 
     few = texts.select("fp", "ws").mapInArrow(some, "fp bigint, ws array<int>").dropDuplicates(["fp"])
     both = pairs.join(few.select(F.col("fp").alias("fp_e"), F.col("ws").alias("ws_e")), "fp_e").join(few.select(F.col("fp").alias("fp_t"), F.col("ws").alias("ws_t")), "fp_t")
@@ -273,7 +290,7 @@ def overlaps(recs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # min() skips nulls: a key with a time that is null and others counts by the others
     firsts = recs.select(key("id").alias("k"), "at").where("k is not null").groupBy("k").agg(F.min("at").alias("at"))
     same = texts.groupBy("fp").agg(F.bool_or(F.col("side") == "eval").alias("e"), F.bool_or(F.col("side") == "train").alias("t")).where("e and t")
-    pairs = near_pairs(texts).withColumn("exact", F.lit(False)).unionByName(same.select(F.col("fp").alias("fp_e"), F.col("fp").alias("fp_t"), F.lit(True).alias("exact")))
+    pairs = near_pairs(one_of_each(texts)).withColumn("exact", F.lit(False)).unionByName(same.select(F.col("fp").alias("fp_e"), F.col("fp").alias("fp_t"), F.lit(True).alias("exact")))
     ids = texts.select("fp", "id", "at", "side")
     e = _first_only(ids.where("side = 'eval'"), firsts, "id", "at").select(F.col("fp").alias("fp_e"), F.col("id").alias("id_e"))
     t = _first_only(ids.where("side = 'train'"), firsts, "id", "at").select(F.col("fp").alias("fp_t"), F.col("id").alias("id_t"))
