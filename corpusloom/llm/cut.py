@@ -5,7 +5,9 @@ last words are held against the whole corpus:
 - the trie of the corpus vocabulary, kept as a table of its nodes (prefixes) with the number of word tokens below each:
   a final token that is no word elsewhere and a proper prefix of known words was cut inside a word;
 - contexts: how often the last 1 to 8 words stand, elsewhere, before the end of a sentence or line, before another
-  word, or at the open end of a text. The longest context that is known decides;
+  word, or at the open end of a text. The longest context that is known says whether a phrase ends there;
+- frames: how often a sentence ends just 2 to 9 words after a pair of words. Where a pair is never followed by an end at
+  that distance ("depends on ..."), the sentence had to go on;
 - neighbours: the candidate's text, sorted among the texts that begin alike, stands at the start of a longer one;
 - length: how many candidates of the table have just this length, against lengths nearby (a spike is a field limit).
 
@@ -35,6 +37,8 @@ from corpusloom.llm.words import INVISIBLE, LOOK_ALIKES, TAG, mixed
 from corpusloom.session import table, written
 
 LONGEST = 8
+#: Words between a pair and the end; such counts carry FRAME + gap in place of the number of tokens.
+GAPS, FRAME = range(1, 10), 100
 #: 8 MB, whatever the input.
 BITMAP_BITS = 26
 #: Characters by which texts that begin alike are put together.
@@ -84,6 +88,10 @@ def _step(h: np.ndarray, token: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _frame(pair: np.ndarray, gap: int) -> np.ndarray:
+    return mixed(pair + np.uint64(gap * 0xD1B54A32D192ED03 % (1 << 64)))
+
+
 def _node(prefix: str) -> int:
     """The hash of a node of the trie."""
     return int(mixed(np.array([zlib.crc32(prefix.encode("utf-8", "replace")) | (len(prefix) << 40) | (1 << 62)], np.uint64))[0])
@@ -109,7 +117,7 @@ def ending(text: str | None) -> tuple[str, bool, bool] | None:
 
 
 def last_context(core: str) -> tuple[str, list[int]]:
-    """The last word (in lower case) and the hashes of its contexts of 1 to LONGEST tokens within the sentence."""
+    """The last word (in lower case), the hashes of its contexts of 1 to LONGEST tokens within the sentence (0 for none), and of its frames."""
     tokens = TOKEN.findall(core.lower())
     while tokens and tokens[-1][0] in ",;:":
         tokens.pop()
@@ -123,6 +131,13 @@ def last_context(core: str) -> tuple[str, list[int]]:
         out.append(int(mixed(h)[0]))
         if c == START:
             break
+    out += [0] * (LONGEST - len(out))
+    for gap in GAPS:
+        k = len(arr) - 1 - gap
+        if k < 1 or START in arr[k:]:
+            break
+        pair = _step(_step(np.zeros(1, np.uint64), np.array([arr[k]], np.uint64)), np.array([arr[k - 1]], np.uint64))
+        out += [int(_frame(pair, gap)[0]), int(_frame(pair, 0)[0])]
     return tokens[-1], out
 
 
@@ -133,6 +148,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _uncut(text: str) -> str:
+    """The text as it is counted: without a mark at its end, so that a cut text's last word stands at an open end."""
+    text = lightly(text).rstrip(_SPACE)
+    return text[:-60] + MARK.sub("", text[-60:]) if MARK.search(text[-60:]) else text
+
+
 def _head(text: str) -> int:
     return _signed(int.from_bytes(zlib.crc32(text[:HEAD].encode("utf-8", "replace")).to_bytes(4, "big") + b"head", "big"))
 
@@ -169,7 +190,7 @@ def _count(cells, bits: int):
                 parts = [np.array([END], np.uint64)]
                 for text in batch.column("text").slice(begin, 2000).to_pylist():
                     if text:
-                        tokens = TOKEN.findall(lightly(text).lower())
+                        tokens = TOKEN.findall(_uncut(text).lower())
                         seen.update(tokens)
                         parts += [np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens)), np.array([END], np.uint64)]
                 a = np.concatenate(parts)
@@ -190,6 +211,19 @@ def _count(cells, bits: int):
                     got.append((full[has], kind[has]))
                     go = has & ~stop
                     p, h, kind = p[go], h[go], kind[go]
+                pair = _step(_step(np.zeros(len(a) - 1, np.uint64), a[1:]), np.where(a[:-1] == END, np.uint64(START), a[:-1]))
+                at2 = np.flatnonzero((a[1:] != START) & (a[1:] != END)) + 1
+                at2 = at2[bitmap_has(cells.value, bits, _frame(pair[at2 - 1], 0))]
+                for gap in GAPS:
+                    # the pair ends at at2, the sentence at most gap words later; drop those that end before
+                    at2 = at2[at2 + gap < len(a) - 1]
+                    last = a[at2 + gap]
+                    at2 = at2[(last != START) & (last != END)]
+                    ends = at2[(a[at2 + gap] == DIGITS) | (a[at2 + gap] > 1 << 32)]
+                    full = _frame(pair[ends - 1], gap)
+                    has = bitmap_has(cells.value, bits, full)
+                    nxt = a[ends[has] + gap + 1]
+                    got.append((full[has], np.where(nxt == START, 0, np.where(nxt == END, 2, 1)).astype(np.int8)))
                 hs = np.concatenate([x for x, _ in got]) if got else np.empty(0, np.uint64)
                 ks = np.concatenate([x for _, x in got]) if got else np.empty(0, np.int8)
                 u, at = np.unique(hs, return_inverse=True)
@@ -213,29 +247,34 @@ def _count(cells, bits: int):
     return run
 
 
-def judge(word: str, marked: bool, hard: bool, seen: list[tuple[int, int, int]], below: int, spike: bool, longer: bool) -> bool:
-    """Whether the candidate was cut: seen has (end, mid, open) of its contexts from 1 token up."""
+def judge(word: str, marked: bool, hard: bool, seen: dict[int, tuple[int, int, int]], below: int, spike: bool, longer: bool) -> bool:
+    """Whether the candidate was cut: seen has (end, mid, open) of its contexts by their tokens, and of its frames."""
     if hard or longer:
         return True
-    e1, m1, o1 = seen[0] if seen else (0, 0, 0)
+    doubt = marked or spike
+    e1, m1, o1 = seen.get(1, (0, 0, 0))
     known = e1 + m1
     if word[0].isalpha() and known == 0:
-        return below > 0 or ((marked or spike) and o1 < 3)
-    deeper = [(j, *s) for j, s in enumerate(seen, 1) if j >= 2 and sum(s[:2]) > 0]
-    for j, (e, m, o) in reversed(list(enumerate(seen, 1))):
+        return below > 0 or (doubt and o1 < 3)
+    contexts = [(j, *seen[j]) for j in range(LONGEST, 0, -1) if j in seen]
+    for j, e, m, o in contexts:
         if j >= 3 and o >= 4 and o > 3 * (e + m):
             return False  # a closing line that many texts share
-        if j < 3:
-            break
+    deeper = [(e, m) for j, e, m, _ in contexts if j >= 2 and e + m > 0]
     if word[0].isalpha() and not deeper and below > 20 * known:
         return True
-    for _, e, m, _ in reversed(deeper):
-        if e + m >= 2 or _ == deeper[0]:
-            return e < m if not (marked or spike) else e <= m
-    if deeper:
-        _, e, m, _ = deeper[-1]
-        return e < m
-    return e1 < m1
+    # does a phrase end here? the longest context that came three times, else the longest that came at all
+    e, m = next((x for x in deeper if sum(x) >= 3), deeper[0] if deeper else (e1, m1))
+    if e == 0 or e < 0.05 * (e + m):
+        return True
+    if deeper and sum(deeper[0]) >= 3 and deeper[0][1] == 0:
+        return False
+    # may the sentence end here? the frame least often ended at this distance
+    frames = [seen[FRAME + g] for g in GAPS if FRAME + g in seen]
+    least = min((f[0] / (f[0] + f[1]) for f in frames if f[0] + f[1] >= 25), default=None)
+    if least is not None:
+        return least < (0.04 if doubt else 0.02)
+    return e < m or (doubt and e == m)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +282,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for i in range(batch.num_rows):
             r = {n: batch.column(n)[i].as_py() for n in ("word", "marked", "hard", "seen", "below", "spike", "longer", "text", "prompt", "original")}
-            seen = [(s["e"], s["m"], s["o"]) for s in sorted(r["seen"], key=lambda s: s["j"])]
+            seen = {s["j"]: (s["e"], s["m"], s["o"]) for s in r["seen"]}
             cut = judge(r["word"], r["marked"], r["hard"], seen, r["below"], r["spike"], r["longer"])
             keep.append(cut and not (r["text"] is not None and is_copy(r["text"], r["original"], r["prompt"])))
         yield batch.filter(pa.array(keep, pa.bool_())).select(["tbl", "id", "at", "source", "model", "length", "marked"])
@@ -291,7 +330,9 @@ def truncated(recs: DataFrame, originals: DataFrame) -> DataFrame:
 
     cells, _ = gather(cand.select("hs", "node"), hashes, bitmap=BITMAP_BITS)
     counts = recs.select("text").mapInArrow(_count(sc.broadcast(cells), BITMAP_BITS), "h bigint, e bigint, m bigint, o bigint").groupBy("h").agg(*[F.sum(c).alias(c) for c in "emo"])
-    asked = cand.select("tbl", "id", "at", F.posexplode("hs").alias("j", "h")).unionByName(cand.select("tbl", "id", "at", F.lit(-1).alias("j"), F.col("node").alias("h")))
+    # positions in hs: LONGEST contexts, then for each gap its frame and the frame's pair, which only serves to look up
+    place = F.when(F.col("p") < LONGEST, F.col("p") + 1).when((F.col("p") - LONGEST) % 2 == 0, FRAME + 1 + ((F.col("p") - LONGEST) / 2).cast("int"))
+    asked = cand.select("tbl", "id", "at", F.posexplode("hs").alias("p", "h")).select("tbl", "id", "at", place.alias("j"), "h").where("h <> 0 and j is not null").unionByName(cand.select("tbl", "id", "at", F.lit(-1).alias("j"), F.col("node").alias("h")))
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     seen = asked.join(counts, "h", "left").groupBy("tbl", "id", "at").agg(F.collect_list(F.when(F.col("j") >= 0, F.struct("j", n("e"), n("m"), n("o")))).alias("seen"), F.coalesce(F.max(F.when(F.col("j") < 0, F.col("m"))), F.lit(0)).alias("below"))
     # a spike: the candidates of this length in the table against the mean of the 20 lengths on either side
