@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import cut, encode, grouped, overlap
+from corpusloom.llm import cut, encode, grouped, overlap, pairs
 
-_MODULES = (overlap, cut, grouped, encode)
+_MODULES = (pairs, overlap, cut, grouped, encode)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

@@ -267,7 +267,7 @@ def judge(word: str, marked: bool, hard: bool, seen: dict[int, tuple[int, int, i
     e, m = next((x for x in deeper if sum(x) >= 3), deeper[0] if deeper else (e1, m1))
     if e == 0 or e < 0.05 * (e + m):
         return True
-    if deeper and sum(deeper[0]) >= 3 and deeper[0][1] == 0:
+    if deeper and (e >= 3 and m == 0 or e >= 5 and e >= 0.9 * (e + m)):
         return False
     # may the sentence end here? the frame least often ended at this distance
     frames = [seen[FRAME + g] for g in GAPS if FRAME + g in seen]
