@@ -26,7 +26,9 @@ def _probes(bits: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def bitmap_add(cells: np.ndarray, bits: int, hashes: np.ndarray) -> None:
     for i in _probes(bits, hashes):
-        np.bitwise_or.at(cells, (i >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (i & np.uint64(7)).astype(np.uint8)))
+        byte, bit = (i >> np.uint64(3)).astype(np.int64), (i & np.uint64(7)).astype(np.uint8)
+        for v in range(8):  # of one bit, so that a byte named twice is set right
+            cells[byte[bit == v]] |= np.uint8(1 << v)
 
 
 def bitmap_has(cells: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
@@ -61,7 +63,7 @@ def gather(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], *, bit
                 continue
             seen = True
             if own[0] is not None:
-                bitmap_add(own[0], bitmap, np.unique(h))
+                bitmap_add(own[0], bitmap, h)
             if own[1] is not None:
                 sketch_add(own[1], sketch, h)
         if not seen:

@@ -6,11 +6,12 @@ k = n/5 for an evaluation text of n words. So of any k+1 disjoint segments of Q
 unchanged in the training text, at most max(n, m)/10 words further left or right: the join loses no pair. Which k+1
 segments are cut is free; a dynamic program picks those that are rarest in the training texts, by a sketch of all of them.
 
-Rows of the join carry a bitmap of the text's words. Each word of one text without a partner costs at most one bit, and
-a pair may have n - L such words: pairs with more bits apart are dropped in the join, before anything is shuffled.
-What is left is verified by banded dynamic programming over the whole texts.
+Rows of the join carry a bitmap of the text's less common words. Each word of one text without a partner costs at most
+one bit, and a pair may have n - L such words: pairs with more bits apart are dropped in the join, before anything is
+shuffled. What is left is verified by banded dynamic programming over the whole texts.
 
-Copies: segments and pairs are between distinct texts (fingerprints); ids come back at the end.
+Copies: pairs are between distinct texts (fingerprints), and of a text that came more than COPIES times on a side one row
+is cut into segments; ids come back at the end.
 """
 
 from __future__ import annotations
@@ -34,7 +35,11 @@ Q = 4
 BITMAP_BITS, PLACE_BITS, SKETCH_BITS = 26, 28, 22
 #: Lengths of two texts that may overlap are in the same or neighbouring classes of this ratio (a bit over 10/9).
 RATIO = 1.1112
-_TEXTS = "id string, at timestamp, side string, n int, fp bigint, b0 bigint, b1 bigint, ws array<int>"
+#: Copies of a text on one side that are joined as they are; of more, one row is.
+COPIES = 8
+#: Words with more occurrences than this share of the texts have no bit.
+COMMON = 0.05
+_TEXTS = "id string, at timestamp, side string, n int, fp bigint, ws array<int>"
 
 
 def max_apart(longer: np.ndarray | int) -> np.ndarray | int:
@@ -53,26 +58,18 @@ def _normalise(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            keep, n, fp, b0, b1, flat, ends = [], [], [], [], [], [], [0]
+            keep, n, fp, flat = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ws = words(text)
-                if len(ws) < min_words:
-                    continue
-                h = hashes.of(ws)
-                keep.append(i)
-                n.append(len(ws))
-                fp.append(int.from_bytes(hashlib.blake2b(b"".join(ws), digest_size=8).digest(), "big", signed=True))
-                bit = np.unique(h[[len(w) > 3 for w in ws]] >> np.uint32(25))
-                lo = np.bitwise_or.reduce(np.left_shift(np.uint64(1), bit[bit < 64].astype(np.uint64)), initial=np.uint64(0))
-                hi = np.bitwise_or.reduce(np.left_shift(np.uint64(1), (bit[bit >= 64] - 64).astype(np.uint64)), initial=np.uint64(0))
-                b0.append(lo)
-                b1.append(hi)
-                flat.append(h)
-                ends.append(ends[-1] + len(h))
+                if len(ws) >= min_words:
+                    keep.append(i)
+                    n.append(len(ws))
+                    fp.append(int.from_bytes(hashlib.blake2b(b"".join(ws), digest_size=8).digest(), "big", signed=True))
+                    flat.append(hashes.of(ws))
             part = batch.take(pa.array(keep, pa.int64()))
+            ends = np.cumsum([0, *n])
             ws_col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).view(np.int32) if flat else [], pa.int32()))
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (b0, b1)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("at"), part.column("side"), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), *longs, ws_col], ["id", "at", "side", "n", "fp", "b0", "b1", "ws"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("at"), part.column("side"), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), ws_col], ["id", "at", "side", "n", "fp", "ws"])
 
     return run
 
@@ -127,7 +124,26 @@ def _rarest(freq: list[np.ndarray], ns: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _segments(sketch, bitmap):
+def common_words(texts: DataFrame, share: float = COMMON) -> np.ndarray:
+    """Words (hashes) with more occurrences than that share of the texts; at most mean length / share of them."""
+    total = texts.count()
+    counts = texts.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") > share * total)
+    return np.sort(np.array([r["w"] for r in counts.select("w").collect()], np.int32).view(np.uint32))
+
+
+def _bits(part: pa.RecordBatch, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit masks for each text, of its words that aren't common."""
+    col = part.column("ws")
+    w = col.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+    owner = np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))
+    rare = ~np.isin(w, common)
+    has = np.zeros((len(col), 128), bool)
+    has[owner[rare], w[rare] >> np.uint32(25)] = True
+    masks = np.packbits(has, axis=1).view(np.int64).reshape(-1, 2)
+    return masks[:, 0], masks[:, 1]
+
+
+def _segments(sketch, bitmap, common):
     """Rows (seg, fp, n, pos, b0, b1) of the segments cut from evaluation texts that some training text may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +159,12 @@ def _segments(sketch, bitmap):
                         chosen = _rarest([sketch_get(sketch.value, SKETCH_BITS, hs[i]) for i in group], ns[group])
                         for i, c in zip(group, chosen, strict=True):
                             segs[i] = c[bitmap_has(bitmap.value, BITMAP_BITS, hs[i][c])]
-                yield _rows(part, hs, segs)
+                yield _rows(part, hs, segs, common.value)
 
     return run
 
 
-def _rows(part: pa.RecordBatch, hs: list[np.ndarray], segs: list[np.ndarray]) -> pa.RecordBatch:
+def _rows(part: pa.RecordBatch, hs: list[np.ndarray], segs: list[np.ndarray], common: np.ndarray) -> pa.RecordBatch:
     count = [len(s) for s in segs]
     owner = np.repeat(np.arange(len(hs)), count)
     seg = np.concatenate([h[s] for h, s in zip(hs, segs, strict=True)]) if hs else np.empty(0, np.uint64)
@@ -156,7 +172,7 @@ def _rows(part: pa.RecordBatch, hs: list[np.ndarray], segs: list[np.ndarray]) ->
     cols = [pa.array(seg.view(np.int64))]
     cols += [part.column(c).take(pa.array(owner)) for c in ("fp", "n")]
     cols.append(pa.array(pos, pa.int32()))
-    cols += [part.column(c).take(pa.array(owner)) for c in ("b0", "b1")]
+    cols += [pa.array(b[owner]) for b in _bits(part, common)]
     return pa.RecordBatch.from_arrays(cols, ["seg", "fp", "n", "pos", "b0", "b1"])
 
 
@@ -184,7 +200,7 @@ def _wanted_places(batch: pa.RecordBatch) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _substrings(bitmap):
+def _substrings(bitmap, common):
     """The same rows of all places of training texts where a wanted segment may stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +213,7 @@ def _substrings(bitmap):
                 pos = np.concatenate([np.arange(c) for c in count]) if hs else np.empty(0, np.int64)
                 c = np.repeat(own, count)
                 has = bitmap_has(bitmap.value, PLACE_BITS, _place(np.concatenate(hs), c, pos // _width(c)))
-                yield _rows(part, hs, [np.flatnonzero(x) for x in np.split(has, np.cumsum(count)[:-1])])
+                yield _rows(part, hs, [np.flatnonzero(x) for x in np.split(has, np.cumsum(count)[:-1])], common.value)
 
     return run
 
@@ -206,15 +222,18 @@ _SEGMENT = "seg bigint, fp bigint, n int, pos int, b0 bigint, b1 bigint"
 
 
 def one_of_each(texts: DataFrame) -> DataFrame:
-    """One row for each distinct text of a side; only texts that may have come more than once are shuffled."""
-    often = texts.groupBy("fp", "side").agg(F.count("*").alias("c")).where("c > 1").select("fp")
-    cells = texts.sparkSession.sparkContext.broadcast(gather(often, _fp_hash, bitmap=BITMAP_BITS - 3)[0])
+    """One row for each text of a side with more than COPIES copies; only rows of such texts are shuffled."""
+    often = texts.groupBy("fp", "side").agg(F.count("*").alias("c")).where(F.col("c") > COPIES).select("fp")
+    found, _ = gather(often, _fp_hash, bitmap=BITMAP_BITS - 3)
+    if not found.any():
+        return texts
+    cells = texts.sparkSession.sparkContext.broadcast(found)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.append_column("often", pa.array(bitmap_has(cells.value, BITMAP_BITS - 3, _fp_hash(batch))))
 
-    rows = texts.select("side", "fp", "n", "b0", "b1", "ws").mapInArrow(marked, "side string, fp bigint, n int, b0 bigint, b1 bigint, ws array<int>, often boolean")
+    rows = texts.select("side", "fp", "n", "ws").mapInArrow(marked, "side string, fp bigint, n int, ws array<int>, often boolean")
     once = rows.where("not often").drop("often")
     return once.unionByName(rows.where("often").drop("often").dropDuplicates(["side", "fp"]))
 
@@ -226,12 +245,13 @@ def _fp_hash(batch: pa.RecordBatch) -> np.ndarray:
 def candidate_pairs(texts: DataFrame) -> DataFrame:
     """Pairs (fp_e, fp_t) of distinct texts that share a segment at an allowed place and aren't told apart by their bits."""
     sc = texts.sparkSession.sparkContext
+    common = sc.broadcast(common_words(texts))
     train, ev = texts.where("side = 'train'"), texts.where("side = 'eval'")
     all_grams = lambda b: np.concatenate([grams(w, Q) for w in _arrays(b.column("ws"))] or [np.empty(0, np.uint64)])
     there, counts = gather(train.select("ws"), all_grams, bitmap=BITMAP_BITS, sketch=SKETCH_BITS)
-    cut = written(ev.mapInArrow(_segments(sc.broadcast(counts), sc.broadcast(there)), _SEGMENT), "segments")
+    cut = written(ev.mapInArrow(_segments(sc.broadcast(counts), sc.broadcast(there), common), _SEGMENT), "segments")
     wanted, _ = gather(cut.select("seg", "n", "pos"), _wanted_places, bitmap=PLACE_BITS)
-    found = train.mapInArrow(_substrings(sc.broadcast(wanted)), _SEGMENT)
+    found = train.mapInArrow(_substrings(sc.broadcast(wanted), common), _SEGMENT)
     e, t = cut.alias("e"), found.alias("t")
     longer = F.greatest("e.n", "t.n")
     apart = longer - F.floor((longer * 9 + 9) / 10)
@@ -245,9 +265,13 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for i, (a, b) in enumerate(zip(_arrays(batch.column("ws_e")), _arrays(batch.column("ws_t")), strict=True)):
+        for a, b in zip(_arrays(batch.column("ws_e")), _arrays(batch.column("ws_t")), strict=True):
+            a, b = a.tolist(), b.tolist()
             longer = max(len(a), len(b))
-            keep.append(10 * common_in_order(a.tolist(), b.tolist(), int(max_apart(longer)) + 1) >= 9 * longer)
+            apart, one, two = int(max_apart(longer)), set(a), set(b)
+            # words that only one of them has can't have a partner
+            near = len(one - two) <= apart and len(two - one) <= apart
+            keep.append(near and 10 * common_in_order(a, b, apart + 1) >= 9 * longer)
         yield batch.filter(pa.array(keep, pa.bool_())).select(["fp_e", "fp_t"])
 
 
