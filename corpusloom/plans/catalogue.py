@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.operators import orphans
+from corpusloom.operators import corpus, orphans
 
-QUERIES = dict(orphans.QUERIES)
-SQL = dict(orphans.SQL)
+_MODULES = (orphans, corpus)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
