@@ -38,7 +38,7 @@ RATIO = 1.1112
 #: Copies of a text on one side that are joined as they are; of more, one row is.
 COPIES = 8
 #: Words with more occurrences than this share of the texts have no bit.
-COMMON = 0.05
+COMMON = 0.15
 _TEXTS = "id string, at timestamp, side string, n int, fp bigint, ws array<int>"
 
 
