@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.operators import corpus, orphans
+from corpusloom.operators import corpus, orphans, splits
 
-_MODULES = (orphans, corpus)
+_MODULES = (orphans, corpus, splits)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
