@@ -32,8 +32,19 @@ def bitmap_add(cells: np.ndarray, bits: int, hashes: np.ndarray) -> None:
 
 
 def bitmap_has(cells: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-    one, two = ((cells[(i >> np.uint64(3)).astype(np.int64)] >> (i & np.uint64(7)).astype(np.uint8)) & np.uint8(1) for i in _probes(bits, hashes))
-    return (one & two) == 1
+    def probe(h: np.ndarray) -> np.ndarray:
+        i = h >> np.uint64(64 - bits)
+        return (cells[(i >> np.uint64(3)).astype(np.int64)] >> (i & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+    has = probe(hashes)
+    left = np.flatnonzero(has)
+    has[left] = probe(hashes[left] * np.uint64(0xA24BAED4963EE407))  # the second bit only of those that have the first
+    return has
+
+
+def bits_for(n: int, most: int) -> int:
+    """Bits of a bitmap for so many hashes, 16 for each, within bounds."""
+    return min(most, max(16, (16 * n).bit_length()))
 
 
 def sketch_add(cells: np.ndarray, bits: int, hashes: np.ndarray) -> None:

@@ -32,18 +32,18 @@ from pyspark.sql import Window as W
 
 from corpusloom.keys import key, stripped, text_records
 from corpusloom.llm.answers import is_copy, is_empty, is_refusal
-from corpusloom.llm.bits import bitmap_add, bitmap_has, empty, gather
+from corpusloom.llm.bits import bitmap_has, bits_for, gather
 from corpusloom.llm.words import INVISIBLE, LOOK_ALIKES, TAG, mixed
 from corpusloom.session import table, written
 
 LONGEST = 8
 #: Words between a pair and the end; such counts carry FRAME + gap in place of the number of tokens.
 GAPS, FRAME = range(1, 10), 100
-#: 8 MB, whatever the input.
+#: 8 MB at most, whatever the input.
 BITMAP_BITS = 26
 #: Characters by which texts that begin alike are put together.
 HEAD = 120
-TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+|[.!?…]+|\n+|[,;:]")
+TOKEN = re.compile(r"\w+|[.!?…]+|\n+|[,;:]")
 #: Marks put where a text was cut.
 MARK = re.compile(r"(?:\s*(?:[\[(<{]\s*(?:\.{2,}|…|truncated|cut(?: off)?|continued|cont\.?|more|snip|abridged|text (?:cut|truncated)[^\])>}]{0,20})\s*[\])>}]|…|\.{3,}|�+|(?:read|show|see) more|>>+|»))+\s*$", re.I)
 _SPACE = " \t\r\n\v\f  -​  　"
@@ -101,6 +101,9 @@ def ending(text: str | None) -> tuple[str, bool, bool] | None:
     """For a candidate: the text up to its mark, whether it has a mark, and whether it ends where no sentence can; else None."""
     if not text:
         return None
+    end = text[-40:].rstrip()
+    if end[-1:] in (".", "!", "?") and end[-2:-1].isalnum():
+        return None
     tail = lightly(text[-400:]).strip() if len(text) > 400 else lightly(text).strip()
     m = MARK.search(tail)
     marked = m is not None
@@ -328,8 +331,9 @@ def truncated(recs: DataFrame, originals: DataFrame) -> DataFrame:
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
         return np.concatenate([batch.column("hs").flatten().to_numpy(zero_copy_only=False).astype(np.int64), batch.column("node").to_numpy()]).view(np.uint64)
 
-    cells, _ = gather(cand.select("hs", "node"), hashes, bitmap=BITMAP_BITS)
-    counts = recs.select("text").mapInArrow(_count(sc.broadcast(cells), BITMAP_BITS), "h bigint, e bigint, m bigint, o bigint").groupBy("h").agg(*[F.sum(c).alias(c) for c in "emo"])
+    bits = bits_for(cand.count() * (LONGEST + 2 * len(GAPS) + 1), BITMAP_BITS)
+    cells, _ = gather(cand.select("hs", "node"), hashes, bitmap=bits)
+    counts = recs.select("text").mapInArrow(_count(sc.broadcast(cells), bits), "h bigint, e bigint, m bigint, o bigint").groupBy("h").agg(*[F.sum(c).alias(c) for c in "emo"])
     # positions in hs: LONGEST contexts, then for each gap its frame and the frame's pair, which only serves to look up
     place = F.when(F.col("p") < LONGEST, F.col("p") + 1).when((F.col("p") - LONGEST) % 2 == 0, FRAME + 1 + ((F.col("p") - LONGEST) / 2).cast("int"))
     asked = cand.select("tbl", "id", "at", F.posexplode("hs").alias("p", "h")).select("tbl", "id", "at", place.alias("j"), "h").where("h <> 0 and j is not null").unionByName(cand.select("tbl", "id", "at", F.lit(-1).alias("j"), F.col("node").alias("h")))
