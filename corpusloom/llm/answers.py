@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 from corpusloom.llm.words import INVISIBLE, TAG, common_in_order, plain, words
 
@@ -54,7 +55,7 @@ def is_empty(text: str | None) -> bool:
 
 def is_refusal(text: str | None) -> bool:
     """The answer declines the task and does not do it: few words, among them a way to decline."""
-    if not text or len(text) > 1200:
+    if not text or len(text) > 1200 or text.count(" ") > SHORT + 30:
         return False
     core = INVISIBLE.sub("", unicodedata.normalize("NFC", TAG.sub(" ", text))).translate(_APOSTROPHES)
     n = len(core.split())
@@ -68,6 +69,8 @@ def gives_back(answer: list[bytes], given: list[bytes], also: list[bytes] = ())
     if not given or len(answer) < 0.9 * len(given):
         return False
     need = -(-9 * len(given) // 10)
+    if len(set(given).difference(answer)) > len(given) - need:
+        return False  # each of these words is without a partner
     if sum((Counter(answer) & Counter(given)).values()) < need:
         return False
     known = set(given) | set(also)
@@ -79,15 +82,23 @@ def gives_back(answer: list[bytes], given: list[bytes], also: list[bytes] = ())
     return common_in_order(given, answer) >= need
 
 
+@lru_cache(maxsize=2048)
+def _words_of(text: str | None) -> tuple[bytes, ...]:
+    """words() of prompts, and of originals that follow one another in a sorted batch."""
+    return tuple(words(text))
+
+
 def is_copy(text: str, original: str | None, prompt: str | None) -> bool:
     """It gives back the original text or the prompt, the same or almost, perhaps framed."""
     answer = words(text)
-    if not answer:
-        return False
-    p = words(prompt)
+    return bool(answer) and _copies(answer, original, prompt)
+
+
+def _copies(answer: list[bytes], original: str | None, prompt: str | None) -> bool:
+    p = _words_of(prompt)
     if gives_back(answer, p):
         return True
-    return bool(original) and len(answer) * 10 >= 8 * len(original.split()) and gives_back(answer, words(original), p)
+    return bool(original) and gives_back(answer, _words_of(original), p)
 
 
 #: Frequent small words by language.
@@ -105,23 +116,41 @@ _LANGS_OF: dict[str, tuple[str, ...]] = {}
 for _lang, _list in SMALL_WORDS.items():
     for _w in _list.split():
         _LANGS_OF[_w] = (*_LANGS_OF.get(_w, ()), _lang)
+#: The same in the normal form of words(); where two languages' words fall together they count for both.
+_FOLDED: dict[bytes, tuple[str, ...]] = {}
+for _w, _langs in _LANGS_OF.items():
+    for _f in words(_w):
+        _FOLDED[_f] = tuple(dict.fromkeys((*_FOLDED.get(_f, ()), *_langs)))
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
-def _hits(ws: list[str]) -> Counter:
+def _spread(tally: Counter) -> Counter:
     got: Counter = Counter()
-    for langs in filter(None, map(_LANGS_OF.get, ws)):
-        for x in langs:
-            got[x] += 1
+    for langs, n in tally.items():
+        for x in langs or ():
+            got[x] += n
     return got
 
 
-def language(text: str | None) -> str | None:
-    """The language most of whose small words stand in the text; None where fewer than one or none leads."""
-    got = _hits(_WORD.findall((text or "").lower())).most_common(2)
+def _hits(ws: list[str]) -> Counter:
+    return _spread(Counter(map(_LANGS_OF.get, ws)))
+
+
+def _folded_hits(ws: list[bytes]) -> Counter:
+    return _spread(Counter(map(_FOLDED.get, ws)))
+
+
+def _leader(hits: Counter) -> str | None:
+    got = hits.most_common(2)
     return got[0][0] if got and (len(got) == 1 or got[0][1] > got[1][1]) else None
 
 
+@lru_cache(maxsize=2048)
+def language(text: str | None) -> str | None:
+    """The language most of whose small words stand in the text; None where none leads."""
+    return _leader(_hits(_WORD.findall((text or "").lower())))
+
+
 def language_words(text: str) -> Counter:
     """Words by the language of their sentence; a sentence without a lead takes the language of the one before."""
     out: Counter = Counter()
@@ -130,9 +159,7 @@ def language_words(text: str) -> Counter:
         ws = _WORD.findall(s)
         if not ws:
             continue
-        got = _hits(ws).most_common(2)
-        if got and (len(got) == 1 or got[0][1] > got[1][1]):
-            last = got[0][0]
+        last = _leader(_hits(ws)) or last
         if last is None:
             early += len(ws)
         else:
@@ -141,14 +168,14 @@ def language_words(text: str) -> Counter:
     return out
 
 
-def in_other_language(text: str, beside: str | None) -> bool:
+def in_other_language(text: str, beside: str | None, answer: list[bytes] | None = None) -> bool:
     """More than half of the words are in sentences of another language than `beside` is in."""
     own = language(beside)
     if own is None:
         return False
-    quick = _hits(_WORD.findall(text.lower()))
-    if not quick or 4 * (sum(quick.values()) - quick[own]) < quick[own]:
-        return False
+    quick = _folded_hits(words(text) if answer is None else answer)
+    if not quick or max((n for x, n in quick.items() if x != own), default=0) < 0.6 * quick[own]:
+        return False  # a text half in another language has about as many of that language's small words
     by = language_words(text)
     return 2 * by[own] < sum(by.values())
 
@@ -157,8 +184,9 @@ def defect(text: str | None, original: str | None, prompt: str | None, beside: s
     """empty, refusal, copy, other_language or None; `beside` is what the answer should share its language with."""
     if is_empty(text):
         return "empty"
-    if is_refusal(text):
-        return "copy" if is_copy(text, original, prompt) else "refusal"
-    if is_copy(text, original, prompt):
+    answer = words(text)
+    if _copies(answer, original, prompt):
         return "copy"
-    return "other_language" if in_other_language(text, beside) else None
+    if is_refusal(text):
+        return "refusal"
+    return "other_language" if in_other_language(text, beside, answer) else None
