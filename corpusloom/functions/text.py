@@ -27,6 +27,8 @@ REFUSAL_OPENINGS = (
 REFUSAL = "(?i)" + "|".join(REFUSAL_OPENINGS)
 #: Characters compared by edit distance, all of them ASCII: the cost is quadratic in this number.
 EDIT_PREFIX = 200
+#: Added before rounding, so that halves round alike in any engine.
+NUDGE = 1e-9
 
 
 def text_of(c: Column | str) -> Column:
@@ -82,7 +84,7 @@ def surface(c: Column | str) -> dict[str, Column]:
     words = F.regexp_extract_all(t, F.lit(r"([0-9A-Za-z_]+)"), F.lit(1))
     n = F.size(words)
     sents = F.greatest(F.size(F.filter(F.split(t, r"[.!?]+(?:\s+|$)"), lambda s: F.length(F.regexp_replace(s, r"\s", "")) > 0)), F.lit(1))
-    rate = lambda x: F.when(n > 0, F.round(x / n, 6)).otherwise(0.0)
+    rate = lambda x: F.when(n > 0, F.round(x / n + NUDGE, 6)).otherwise(0.0)
     return {
         "n_words": n,
         "n_chars": F.length(t),
@@ -103,7 +105,7 @@ def readability(c: Column | str) -> dict[str, Column]:
     sents = F.greatest(F.size(F.filter(F.split(t, r"[.!?]+(?:\s+|$)"), lambda s: F.length(F.regexp_replace(s, r"\s", "")) > 0)), F.lit(1))
     long_words = F.size(F.filter(words, lambda w: F.length(w) > 6))
     stop = F.size(F.filter(words, lambda w: F.lower(w).isin("the", "a", "an", "of", "to", "in", "and", "is", "it", "that", "for", "on", "with", "as", "was")))
-    some = lambda x: F.when(n > 0, F.round(x, 6)).otherwise(0.0)
+    some = lambda x: F.when(n > 0, F.round(x + NUDGE, 6)).otherwise(0.0)
     return {
         "coleman_liau": some(5.88 * letters / n - 29.6 * sents / n - 15.8),
         "lix": some(n / sents + 100.0 * long_words / n),

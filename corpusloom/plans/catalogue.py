@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.operators import corpus, orphans, splits
+from corpusloom.operators import corpus, detect, features, metrics, models, orphans, splits
+from corpusloom.streaming import ingest
 
-_MODULES = (orphans, corpus, splits)
+_MODULES = (orphans, corpus, splits, features, metrics, detect, models, ingest)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
