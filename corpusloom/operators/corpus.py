@@ -205,7 +205,7 @@ def pending_by_model(spark, d):
     c = corpus(spark, d, ["model", "src", "source"])
     h = c.where("tbl = 'human_texts' and source in ('use', 'arxiv')").select(F.col("k").alias("src"))
     done = c.where("tbl = 'rewritten_texts' and model is not null").join(h, "src", "left_semi").select("model", "src").distinct().groupBy("model").agg(F.count("*").alias("done"))
-    return done.join(h.agg(F.count("*").alias("wanted")), how="cross").select("model", "done", (F.col("wanted") - F.col("done")).alias("pending"))  # one row on the right
+    return done.select("model", "done", (F.lit(h.count()) - F.col("done")).alias("pending"))
 
 
 def pending_anti(spark, d):
@@ -272,8 +272,9 @@ def texts_per_author(spark, d):
 
 def top_author_share(spark, d, k=10):
     a = corpus(spark, d, ["author_id"]).where("author_id is not null").groupBy("author_id").agg(F.count("*").alias("n"))
+    n = a.agg(F.sum("n")).first()[0]
     top = a.orderBy(F.desc("n"), "author_id").limit(k).agg(F.sum("n").alias("top"))
-    return top.join(a.agg(F.sum("n").alias("n")), how="cross").select("top", "n", F.round(F.col("top") / F.col("n"), 6).alias("share"))  # one row on each side
+    return top.select("top", F.lit(n).alias("n"), F.round(F.col("top") / F.lit(n), 6).alias("share"))
 
 
 def describe_percentiles(spark, d):

@@ -129,9 +129,10 @@ def normalizer_transform(spark, d):
     """Vectors standardised by what even ids were fitted to; summed up by id so that a row stays a row."""
     e = _vectors(spark, d)
     fit = normalizer_fit(e.where("vec_id % 2 = 0"))  # the training half of a hold-out, applied to all
-    state = fit.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("s"))  # one row, as wide as a vector
-    z = F.zip_with("embedding", "s", lambda x, s: (x.cast("double") - s["mean"]) / s["std"])
-    return e.crossJoin(F.broadcast(state)).select("vec_id", F.round(F.aggregate(z, F.lit(0.0), lambda a, b: a + b), 4).alias("sum_z"), F.round(F.array_max(z), 4).alias("max_z"))
+    state = fit.orderBy("dim").collect()  # as many rows as a vector is wide
+    mean, std = (F.array(*[F.lit(float(r[c])) for r in state]) for c in ("mean", "std"))
+    z = F.zip_with(F.zip_with("embedding", mean, lambda x, m: x.cast("double") - m), std, lambda x, s: x / s)
+    return e.select("vec_id", F.round(F.aggregate(z, F.lit(0.0), lambda a, b: a + b), 4).alias("sum_z"), F.round(F.array_max(z), 4).alias("max_z"))
 
 
 def fit_width(spark, d):

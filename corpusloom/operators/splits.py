@@ -21,8 +21,10 @@ def ordered(df: DataFrame, k: str, seed: str = "42", part: list[str] | None = No
     part = part or []
     rows = df.withColumn("_h", F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.col(k))), F.col(k)))
     ranked = with_global_rank(rows, "_h", "r", part=part).drop("_h")
+    if not part:
+        return ranked.withColumn("n", F.lit(df.count()))
     n = df.groupBy(*part).agg(F.count("*").alias("n"))
-    return ranked.join(n, [ranked[c].eqNullSafe(n[c]) for c in part]).drop(*[n[c] for c in part]) if part else ranked.join(n, how="cross")  # one row
+    return ranked.join(n, [ranked[c].eqNullSafe(n[c]) for c in part]).drop(*[n[c] for c in part])
 
 
 def truncated_shares(train: float = 0.70, val: float = 0.15) -> F.Column:
