@@ -346,7 +346,7 @@ def truncated(recs: DataFrame, originals: DataFrame) -> DataFrame:
     longer = _longer_neighbours(cand, recs).withColumn("longer", F.lit(True))
     src = cand.where("text is not null and src is not null").select("src").distinct()
     orig = originals.join(src, originals["k"] == src["src"], "left_semi").groupBy("k").agg(F.min("text").alias("original"))
-    whole = cand.drop("hs", "node").join(seen, ["tbl", "id", "at"]).join(F.broadcast(spikes), ["tbl", "length"], "left").join(longer, ["head", "core"], "left").join(orig, F.when(F.col("text").isNotNull(), F.col("src")) == orig["k"], "left")
+    whole = cand.drop("hs", "node").join(seen, ["tbl", "id", "at"]).join(spikes, ["tbl", "length"], "left").join(longer, ["head", "core"], "left").join(orig, F.when(F.col("text").isNotNull(), F.col("src")) == orig["k"], "left")
     whole = whole.withColumns({"spike": F.coalesce("spike", F.lit(False)), "longer": F.coalesce("longer", F.lit(False))})
     cols = ["tbl", "id", "at", "source", "model", "length", "marked", "word", "hard", "seen", "below", "spike", "longer", "text", "prompt", "original"]
     found = whole.select(cols).mapInArrow(_judged, "tbl string, id string, at timestamp, source string, model string, length int, marked boolean")

@@ -144,6 +144,7 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 def token_counts(docs: DataFrame, text_col: str = "text", *, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs with its text replaced by n_tokens, the number of its ids; 0 for a null or empty text."""
     path = os.path.join(folder, vocabulary)
+    docs = docs.select([c for c in docs.columns if c != "n_tokens"])
     keep = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.keys import author, first_arrivals, key, split_name, text_records
+from corpusloom.operators.components import contract
 from corpusloom.session import written
 
 SPLITS = ("train", "val", "test")
@@ -44,45 +45,6 @@ def label_edges(recs: DataFrame) -> DataFrame:
     return ends.select(F.least("label", other).alias("u"), F.greatest("label", other).alias("v")).where("u <> v").distinct()
 
 
-def contract(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame, DataFrame | None]:
-    """(label, root) of every vertex that has an edge, and the spanning forest (u, v, round) in terms of each round.
-
-    edges: u < v, strings, distinct. No edges give an empty mapping.
-    """
-    edges = written(edges, "edges")
-    comp = forest = None
-    for turn in range(max_rounds):
-        if edges.isEmpty():
-            break
-        both = edges.select(F.col("u").alias("x"), F.struct(F.xxhash64("u", "v").alias("w"), "u", "v").alias("e"))
-        both = both.unionByName(edges.select(F.col("v").alias("x"), F.struct(F.xxhash64("u", "v").alias("w"), "u", "v").alias("e")))
-        picks = both.groupBy("x").agg(F.min("e").alias("e")).select("x", "e.u", "e.v", F.when(F.col("x") == F.col("e.u"), F.col("e.v")).otherwise(F.col("e.u")).alias("p"))
-        picks = written(picks, "picks")
-        grown = picks.select("u", "v", F.lit(turn).alias("round")).distinct()
-        forest = grown if forest is None else forest.unionByName(grown)
-        # two vertices that picked the same edge: the smaller is the root
-        up = picks.alias("a").join(picks.alias("b"), F.col("a.p") == F.col("b.x"))
-        parents = written(up.select(F.col("a.x").alias("x"), F.when((F.col("b.p") == F.col("a.x")) & (F.col("a.x") < F.col("a.p")), F.col("a.x")).otherwise(F.col("a.p")).alias("p")), "parents")
-        while True:
-            jump = parents.alias("a").join(parents.alias("b"), F.col("a.p") == F.col("b.x")).select("a.x", F.col("b.p").alias("p"), (F.col("a.p") != F.col("b.p")).alias("moved"))
-            jump = written(jump, "parents")
-            parents = jump.select("x", "p")
-            if jump.where("moved").isEmpty():
-                break
-        if comp is None:
-            comp = parents.select(F.col("x").alias("label"), F.col("p").alias("root"))
-        else:
-            comp = written(comp.join(parents, comp["root"] == parents["x"], "left").select("label", F.coalesce("p", "root").alias("root")), "components")
-        p = parents
-        edges = edges.join(p.select(F.col("x").alias("u"), F.col("p").alias("pu")), "u").join(p.select(F.col("x").alias("v"), F.col("p").alias("pv")), "v")
-        edges = written(edges.where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
-    else:
-        raise RuntimeError("the contraction didn't end")
-    if comp is None:
-        comp = edges.select(F.col("u").alias("label"), F.col("v").alias("root"))
-    return comp, forest
-
-
 def grouped(records: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """records with `root`, the name of its group; and the forest."""
     recs = written(hung(records), "records")
@@ -114,6 +76,7 @@ def deal(sizes: DataFrame, shares: dict[str, float] = SHARES, seed: str = "42")
     proportion of what the splits still lack; bands are cut into cells of bounded size, each with its own line. An
     empty table gives an empty one; equal sizes are told apart by the hash and the root.
     """
+    sizes = sizes.select("root", *[c for c in ("group_id", "torn") if c in sizes.columns], "n")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     lack = {s: share * total for s, share in shares.items()}
     limit = max(2.0, LARGE * total)

@@ -66,7 +66,7 @@ def quotas(sizes: dict[str, int], targets: list[tuple[str, str, float, int]]) ->
 
 
 def _plan(docs: DataFrame, targets: DataFrame, seed: str) -> tuple[DataFrame, list[dict], dict[str, list[tuple[int, int]]]]:
-    docs, _ = _blocks(docs, seed)
+    docs, _ = _blocks(docs.select("doc_id", "source", "n_tokens"), seed)
     docs = written(docs, "sized")
     # at most MOST_BLOCKS rows for each source of the targets; sources that no recipe names aren't gathered
     rows = [(r["recipe"], r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.select("recipe", key("source").alias("source"), "target_share", "max_repeats").where("recipe is not null and source is not null").distinct().collect()]

@@ -112,8 +112,9 @@ def infer(model: np.ndarray, cells: np.ndarray, doc: np.ndarray, allowed: np.nda
 
 def _weights(counts: np.ndarray) -> np.ndarray:
     """(CELLS, topics) term probabilities of topics from counts (topics, CELLS)."""
-    c = counts + BETA * (counts.sum(0, keepdims=True) > 0)
-    return np.ascontiguousarray((c / c.sum(1, keepdims=True)).T.astype(np.float32))
+    known = counts.sum(1, keepdims=True) > 0  # an area without labelled documents has no terms
+    c = (counts + BETA * (counts.sum(0, keepdims=True) > 0)) * known
+    return np.ascontiguousarray((c / np.maximum(c.sum(1, keepdims=True), 1e-30)).T.astype(np.float32))
 
 
 def _summed(df: DataFrame, k: int, one: callable) -> np.ndarray:
@@ -175,7 +176,7 @@ def fit(toks: DataFrame, k: int, passes: int = PASSES) -> np.ndarray:
     excess[areas < PURITY * (labelled + 1)[None, :]] = 0
     counts = np.concatenate([excess, np.maximum(labelled - excess.sum(0), 0.2 * labelled)[None, :] + 0.5 * (every > 0)])
     # terms that no labelled document has may be of any topic: all start with the same small weight
-    counts[: k - 1] += 0.05 * ((labelled == 0) & (every > 0))
+    counts[: k - 1] += 0.05 * ((labelled == 0) & (every > 0)) * (excess.sum(1, keepdims=True) > 0)
     for _ in range(passes):
         model = sc.broadcast(_weights(counts))
 
