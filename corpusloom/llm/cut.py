@@ -321,7 +321,7 @@ def _longer_neighbours(cand: DataFrame, recs: DataFrame) -> DataFrame:
 def truncated(recs: DataFrame, originals: DataFrame) -> DataFrame:
     """tbl, id, at, source, model, length and marked of each record whose text was cut off.
 
-    recs: tbl, id, at, text, source, model, prompt, src; originals: k, text (what rewritten records are copies of, if
+    recs: tbl, id, at, text, source, model, prompt, src; originals: k, at, text (what rewritten records are copies of, if
     they are). Null and empty texts, refusals and copies are no cases; a record with a null id is left out. A key that
     came more than once counts as it came first. Texts of any length are read whole; an empty table gives no rows.
     """
@@ -345,7 +345,7 @@ def truncated(recs: DataFrame, originals: DataFrame) -> DataFrame:
     spikes = by_length.select("tbl", "length", ((F.col("c") >= 4) & (F.col("c") > 3 * (F.sum("c").over(around) - F.col("c")) / 20)).alias("spike")).where("spike")
     longer = _longer_neighbours(cand, recs).withColumn("longer", F.lit(True))
     src = cand.where("text is not null and src is not null").select("src").distinct()
-    orig = originals.join(src, originals["k"] == src["src"], "left_semi").groupBy("k").agg(F.min("text").alias("original"))
+    orig = originals.join(src, originals["k"] == src["src"], "left_semi").groupBy("k").agg(F.min(F.struct("at", "text"))["text"].alias("original"))
     whole = cand.drop("hs", "node").join(seen, ["tbl", "id", "at"]).join(spikes, ["tbl", "length"], "left").join(longer, ["head", "core"], "left").join(orig, F.when(F.col("text").isNotNull(), F.col("src")) == orig["k"], "left")
     whole = whole.withColumns({"spike": F.coalesce("spike", F.lit(False)), "longer": F.coalesce("longer", F.lit(False))})
     cols = ["tbl", "id", "at", "source", "model", "length", "marked", "word", "hard", "seen", "below", "spike", "longer", "text", "prompt", "original"]
@@ -360,7 +360,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "human_texts").select(key("id").alias("k"), "text")
+    return table(spark, sf_dir, "human_texts").select(key("id").alias("k"), F.col("ingested_at").alias("at"), "text")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,12 +39,12 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def judged(rows: DataFrame, originals: DataFrame, truncated: DataFrame) -> DataFrame:
     """k, id, model and defect (null for a whole pair) of each pair; a key that came more than once, as it came first.
 
-    rows: as pairs() gives them; originals: k, text; truncated: k. An answer may be null, empty or of any length. A pair
+    rows: as pairs() gives them; originals: k, at, text; truncated: k. An answer may be null, empty or of any length. A pair
     without an original is only held against its prompt, and has no other language. Of the defects the first of empty,
     refusal (unless it is a copy), copy, other_language and truncated holds. Empty tables give an empty result.
     """
     rows = rows.select("k", "id", "at", "model", "text", "prompt", "src", "rewrite").where("k is not null")
-    orig = originals.where("k is not null").groupBy("k").agg(F.min("text").alias("original")).withColumnRenamed("k", "src")
+    orig = originals.where("k is not null").groupBy("k").agg(F.min(F.struct("at", "text"))["text"].alias("original")).withColumnRenamed("k", "src")
     seen = rows.join(orig, "src", "left").select("k", "id", "at", "model", "text", "original", "prompt", "rewrite").mapInArrow(_classify, "k string, id string, at timestamp, model string, defect string")
     first = seen.groupBy("k").agg(F.min(F.struct("at", "id", "model", "defect")).alias("f")).select("k", "f.id", "f.model", "f.defect")
     short = truncated.select("k").distinct().withColumn("short", F.lit("truncated"))
