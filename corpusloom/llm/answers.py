@@ -17,7 +17,7 @@ PLACEHOLDERS = frozenset(
 )
 #: Sentences that only announce an answer.
 ANNOUNCED = re.compile(
-    r"^(?:(?:sure|certainly|of course|absolutely|okay|ok|yes|here you go|gladly)\b[\s,.!:-]*)*(?:here(?:'s| is| are)\b[^.!?:\n]{0,80}|(?:the |my |your )?(?:rewritten|paraphrased|revised|reworded)\b[^.!?:\n]{0,60})?[\s.:!*_#-]*$", re.I
+    r"^(?:(?:sure|certainly|of course|absolutely|okay|ok|yes|here you go|gladly)\b[\s,.!:-]*)*(?:here(?:'s| is| are)\b[^.!?:\n]{0,80}|(?:the |my |your )?(?:rewritten|paraphrased|revised|reworded)\b[^.!?:\n]{0,60})[\s.:!*_#-]*$", re.I
 )
 #: How an answer declines. DECLINES alone, REFUSES together with a word about the task.
 DECLINES = re.compile(

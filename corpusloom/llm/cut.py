@@ -6,7 +6,7 @@ last words are held against the whole corpus:
   a final token that is no word elsewhere and a proper prefix of known words was cut inside a word;
 - contexts: how often the last 1 to 8 words stand, elsewhere, before the end of a sentence or line, before another
   word, or at the open end of a text. The longest context that is known says whether a phrase ends there;
-- frames: how often a sentence ends just 2 to 9 words after a pair of words. Where a pair is never followed by an end at
+- frames: how often a sentence ends just 1 to 8 words after a pair of words. Where a pair is never followed by an end at
   that distance ("depends on ..."), the sentence had to go on;
 - neighbours: the candidate's text, sorted among the texts that begin alike, stands at the start of a longer one;
 - length: how many candidates of the table have just this length, against lengths nearby (a spike is a field limit).
@@ -38,7 +38,7 @@ from corpusloom.session import table, written
 
 LONGEST = 8
 #: Words between a pair and the end; such counts carry FRAME + gap in place of the number of tokens.
-GAPS, FRAME = range(1, 10), 100
+GAPS, FRAME = range(1, 9), 100
 #: 8 MB at most, whatever the input.
 BITMAP_BITS = 26
 #: Characters by which texts that begin alike are put together.
@@ -154,9 +154,27 @@ def _signed(x: int) -> int:
 def _uncut(text: str) -> str:
     """The text as it is counted: without a mark at its end, so that a cut text's last word stands at an open end."""
     text = lightly(text).rstrip(_SPACE)
+    if text[-1:] not in "])}>…�»" and not text.endswith("..") and text[-4:].lower() != "more":
+        return text  # no mark ends otherwise
     return text[:-60] + MARK.sub("", text[-60:]) if MARK.search(text[-60:]) else text
 
 
+_TO_BLANK = str.maketrans({chr(i): " " for i in range(128) if not (chr(i).isalnum() or chr(i) in "_.!?\n,;:")})
+_APART = ".!?\n,;:"
+
+
+def _tokens(text: str) -> list[str]:
+    """The tokens of a text in lower case, as TOKEN finds them but for runs of marks, which count alike one by one."""
+    text = text.lower()
+    if not text.isascii():
+        return TOKEN.findall(text)
+    text = text.translate(_TO_BLANK)
+    for c in _APART:
+        if c in text:
+            text = text.replace(c, f" {c if c != chr(10) else '.'} ")
+    return text.split()
+
+
 def _head(text: str) -> int:
     return _signed(int.from_bytes(zlib.crc32(text[:HEAD].encode("utf-8", "replace")).to_bytes(4, "big") + b"head", "big"))
 
@@ -193,7 +211,7 @@ def _count(cells, bits: int):
                 parts = [np.array([END], np.uint64)]
                 for text in batch.column("text").slice(begin, 2000).to_pylist():
                     if text:
-                        tokens = TOKEN.findall(_uncut(text).lower())
+                        tokens = _tokens(_uncut(text))
                         seen.update(tokens)
                         parts += [np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens)), np.array([END], np.uint64)]
                 a = np.concatenate(parts)
@@ -229,8 +247,11 @@ def _count(cells, bits: int):
                     got.append((full[has], np.where(nxt == START, 0, np.where(nxt == END, 2, 1)).astype(np.int8)))
                 hs = np.concatenate([x for x, _ in got]) if got else np.empty(0, np.uint64)
                 ks = np.concatenate([x for _, x in got]) if got else np.empty(0, np.int8)
-                u, at = np.unique(hs, return_inverse=True)
-                n = [np.bincount(at, ks == k, len(u)).astype(np.int64) if len(u) else np.empty(0, np.int64) for k in range(3)]
+                # the two lowest bits of a hash make room for the kind, so that one sort counts them all
+                u, c = np.unique((hs & ~np.uint64(3)) | ks.astype(np.uint64), return_counts=True)
+                k3 = u & np.uint64(3)
+                u = u & ~np.uint64(3)
+                n = [np.where(k3 == k, c, 0).astype(np.int64) for k in range(3)]
                 below: Counter = Counter()
                 for token, times in seen.items():
                     if not token[0].isalpha():
@@ -245,7 +266,7 @@ def _count(cells, bits: int):
                         below[x] += times
                 bh, bn = np.fromiter(below.keys(), np.uint64, len(below)), np.fromiter(below.values(), np.int64, len(below))
                 zero = np.zeros(len(bh), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((u.view(np.int64), bh.view(np.int64)), (n[0], zero), (n[1], bn), (n[2], zero))], ["h", "e", "m", "o"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((u.view(np.int64), (bh & ~np.uint64(3)).view(np.int64)), (n[0], zero), (n[1], bn), (n[2], zero))], ["h", "e", "m", "o"])
 
     return run
 
@@ -336,7 +357,7 @@ def truncated(recs: DataFrame, originals: DataFrame) -> DataFrame:
     counts = recs.select("text").mapInArrow(_count(sc.broadcast(cells), bits), "h bigint, e bigint, m bigint, o bigint").groupBy("h").agg(*[F.sum(c).alias(c) for c in "emo"])
     # positions in hs: LONGEST contexts, then for each gap its frame and the frame's pair, which only serves to look up
     place = F.when(F.col("p") < LONGEST, F.col("p") + 1).when((F.col("p") - LONGEST) % 2 == 0, FRAME + 1 + ((F.col("p") - LONGEST) / 2).cast("int"))
-    asked = cand.select("tbl", "id", "at", F.posexplode("hs").alias("p", "h")).select("tbl", "id", "at", place.alias("j"), "h").where("h <> 0 and j is not null").unionByName(cand.select("tbl", "id", "at", F.lit(-1).alias("j"), F.col("node").alias("h")))
+    asked = cand.select("tbl", "id", "at", F.posexplode("hs").alias("p", "h")).select("tbl", "id", "at", place.alias("j"), F.col("h").bitwiseAND(F.lit(-4).cast("bigint")).alias("h")).where("h <> 0 and j is not null").unionByName(cand.select("tbl", "id", "at", F.lit(-1).alias("j"), F.col("node").bitwiseAND(F.lit(-4).cast("bigint")).alias("h")))
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     seen = asked.join(counts, "h", "left").groupBy("tbl", "id", "at").agg(F.collect_list(F.when(F.col("j") >= 0, F.struct("j", n("e"), n("m"), n("o")))).alias("seen"), F.coalesce(F.max(F.when(F.col("j") < 0, F.col("m"))), F.lit(0)).alias("below"))
     # a spike: the candidates of this length in the table against the mean of the 20 lengths on either side
