@@ -68,8 +68,8 @@ def ngrams(words: Column, n: int) -> Column:
     """The distinct runs of n items of an array, joined by blanks."""
     if n == 1:
         return F.array_distinct(words)
-    at = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    starts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    return F.array_distinct(F.transform(starts, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + j) for j in range(1, n)])))
 
 
 def jaccard(a: Column, b: Column) -> Column:

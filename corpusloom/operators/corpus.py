@@ -30,9 +30,9 @@ def nw(c: str) -> str:
 _COLUMNS = {
     "text": lambda: F.col("text"), "is_ai": lambda: F.col("is_ai"), "label": lambda: F.col("label"), "source": lambda: key("source"), "domain": lambda: stripped("domain"), "author_id": lambda: author("author_id"),
     "model": lambda: stripped("model"), "prompt": lambda: F.col("prompt"), "src": lambda: key("source_text_id"), "split": lambda: split_name("split"), "n_words": lambda: T.n_words("text"), "refusal": lambda: T.is_refusal("text"),
-    "text_hash": lambda: F.md5("text"), "prompt_hash": lambda: F.md5("prompt"),
+    "stripped_hash": lambda: F.md5(T.strip("text")), "ascii_prefix": lambda: T.ascii_prefix("text"), "text_hash": lambda: F.md5("text"), "prompt_hash": lambda: F.md5("prompt"),
 }
-_READS = {"src": "source_text_id", "n_words": "text", "refusal": "text", "text_hash": "text", "prompt_hash": "prompt"}
+_READS = {"src": "source_text_id", "n_words": "text", "refusal": "text", "text_hash": "text", "stripped_hash": "text", "ascii_prefix": "text", "prompt_hash": "prompt"}
 
 
 def corpus(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
@@ -301,17 +301,16 @@ def length_ratio(spark, d):
 
 def paired_quality(spark, d, near=0.95):
     """Rewrites by model and the first quality rule that holds: refusal, missing_source, echo, too_short, too_long, near_duplicate, clean."""
-    rec = text_records(spark, d, ["id", "text", "model", "source_text_id", "ingested_at"]).where("tbl in ('rewritten_texts', 'human_texts')")
-    rec = first_arrivals(rec.select("tbl", key("id").alias("k"), F.col("ingested_at").alias("at"), stripped("model").alias("model"), key("source_text_id").alias("src"), "text").where("k is not null"), "k", "at", ["at", "tbl", "model", "src", "text"])
-    r = rec.where("tbl = 'rewritten_texts'").select("k", "model", "src", "text")
-    h = rec.where("tbl = 'human_texts'").select(F.col("k").alias("src"), F.col("text").alias("orig"), F.lit(True).alias("there"))
-    n, of = T.n_words("text"), T.n_words("orig")
-    a, b = T.ascii_prefix("text"), T.ascii_prefix("orig")
-    longer = F.greatest(F.length(a), F.length(b))
+    # all that the rules read of a text is computed in the scan: texts aren't shuffled
+    rec = corpus(spark, d, ["model", "src", "n_words", "refusal", "stripped_hash", "ascii_prefix"])
+    r = rec.where("tbl = 'rewritten_texts'").select("k", "model", "src", "refusal", F.col("n_words").alias("n"), F.col("stripped_hash").alias("s"), F.col("ascii_prefix").alias("a"))
+    h = rec.where("tbl = 'human_texts'").select(F.col("k").alias("src"), F.lit(True).alias("there"), F.col("n_words").alias("of"), F.col("stripped_hash").alias("os"), F.col("ascii_prefix").alias("b"))
+    n, of = F.col("n"), F.col("of")
+    longer = F.greatest(F.length("a"), F.length("b"))
     # the threshold lets levenshtein stop early; beyond it the answer is -1
     most = int((1 - near) * T.EDIT_PREFIX)
-    dist = F.levenshtein(a, b, most)
-    rule = F.when(T.is_refusal("text"), "refusal").when(F.col("there").isNull(), "missing_source").when(T.strip("text") == T.strip("orig"), "echo")
+    dist = F.levenshtein("a", "b", most)
+    rule = F.when(F.col("refusal"), "refusal").when(F.col("there").isNull(), "missing_source").when(F.col("s") == F.col("os"), "echo")
     rule = rule.when((n < 30) | (n < 0.30 * of), "too_short").when(n > 2.0 * of, "too_long").when((longer > 0) & (dist >= 0) & (dist < (1 - near) * longer), "near_duplicate").otherwise("clean")
     return r.join(h, "src", "left").select("k", "model", rule.alias("rule"))
 
@@ -326,6 +325,26 @@ def provider_issue_pivot(spark, d):
     return q.groupBy("model").agg(F.count("*").alias("n"), *[_n(F.col("rule") == x).alias(x) for x in kinds], F.round(100.0 * _n(F.col("rule") != "clean") / F.count("*"), 2).alias("issue_percent"))
 
 
+def split_ratio(spark, d):
+    """Records, human and AI, and their ratio by split."""
+    c = corpus(spark, d, ["split", "label"]).groupBy("split").agg(F.count("*").alias("n"), _n(F.col("label") == "human").alias("human"), _n(F.col("label") == "ai").alias("ai"))
+    return c.withColumn("ai_per_human", F.when(F.col("human") > 0, F.round(F.col("ai") / F.col("human") + T.NUDGE, 6)))
+
+
+def group_summary(spark, d):
+    """Mean words by source for both labels side by side, and their difference."""
+    c = corpus(spark, d, ["domain", "label", "n_words"])
+    p = c.groupBy("domain").pivot("label", ["human", "ai"]).agg(F.avg("n_words"))
+    return p.select("domain", *[F.round(F.col(x) + T.NUDGE, 5).alias(x) for x in ("human", "ai")], F.round(F.col("ai") - F.col("human") + T.NUDGE, 5).alias("delta"))
+
+
+def sentence_refs(spark, d, least=6, first=50):
+    """The first sentences of each label (in the order of md5 of the record) with more than five words: a sampling operator."""
+    rows = text_records(spark, d, ["id", "label", "text", "ingested_at"]).select("tbl", key("id").alias("k"), F.col("ingested_at").alias("at"), "label", F.filter(F.split(T.text_of("text"), r"\."), lambda s: F.regexp_count(s, F.lit(r"[^\s]+")) >= least).alias("l")).where("k is not null")
+    s = rows.select("k", "label", F.posexplode("l").alias("pos", "sentence")).select("label", F.concat(F.md5("k"), F.lit("|"), F.col("k"), F.lit("|"), F.lpad(F.col("pos").cast("string"), 9, "0")).alias("h"), "k", "pos").distinct()
+    return with_global_rank(s, "h", "r", part=["label"]).where(F.col("r") <= first).select("label", F.col("k").alias("id"), "pos", "r")
+
+
 _Q = f"""r as (select k, model, src, text from corpus where tbl = 'rewritten_texts'), h as (select k as src, text as orig, true as there from corpus where tbl = 'human_texts'),
   p as (select r.k, r.model, r.text, h.orig, h.there, {nw('r.text')} as n, {nw('h.orig')} as ow,
     substr(regexp_replace(coalesce(r.text, ''), '[^ -~]', '', 'g'), 1, {T.EDIT_PREFIX}) as a, substr(regexp_replace(coalesce(h.orig, ''), '[^ -~]', '', 'g'), 1, {T.EDIT_PREFIX}) as b from r left join h on r.src = h.src),
@@ -370,6 +389,9 @@ SQL = {
     "describe_percentiles": f"{_W}, n as (select tbl, {NW} as w from corpus) select tbl, count(*) as n, round(quantile_cont(w, 0.1), 6) as p10, round(quantile_cont(w, 0.25), 6) as p25, round(quantile_cont(w, 0.5), 6) as p50, round(quantile_cont(w, 0.75), 6) as p75, round(quantile_cont(w, 0.9), 6) as p90 from n group by 1",
     "rewrites_per_source": f"{_W}, s as (select src, count(*) as n from corpus where tbl = 'rewritten_texts' and src is not null group by 1), a as (select author_id, count(*) as n from corpus where tbl = 'rewritten_texts' and author_id is not null group by 1) select 'src' as per, min(n) as least, max(n) as most, round(avg(n), 2) as mean from s union all select 'author_id', min(n), max(n), round(avg(n), 2) from a",
     "length_ratio": f"{_W}, n as (select *, {NW} as w from corpus), j as (select r.model, r.w, h.w as o, (r.w - h.w) / h.w as delta from n r join n h on h.k = r.src and h.tbl = 'human_texts' and h.w > 0 where r.tbl = 'rewritten_texts') select model, count(*) as n, round(avg(w / o), 6) as ratio, round(quantile_cont(delta, 0.5), 6) as median_delta, round(avg((abs(delta) > 0.3)::int), 6) as beyond from j group by 1",
+    "split_ratio": f"{_W}, c as (select split, count(*) as n, count(*) filter (label = 'human') as human, count(*) filter (label = 'ai') as ai from corpus group by 1) select *, case when human > 0 then round(ai / human + 1e-9, 6) end as ai_per_human from c",
+    "group_summary": f"{_W}, m as (select domain, avg({NW}) filter (label = 'human') as h, avg({NW}) filter (label = 'ai') as a from corpus group by 1) select domain, round(h + 1e-9, 5) as human, round(a + 1e-9, 5) as ai, round(a - h + 1e-9, 5) as delta from m",
+    "sentence_refs": f"{_W}, l as (select k, label, list_filter(string_split(coalesce(text, ''), '.'), lambda s: len(regexp_extract_all(s, '[^\\s]+')) >= 6) as l from corpus), s as (select k, label, unnest(range(len(l)))::int as pos from l), r as (select *, row_number() over (partition by label order by md5(k), k, pos) as r from s) select label, k as id, pos, r from r where r <= 50",
     "quality_rules": f"{_W}, {_Q} select model, rule, count(*) as n from q group by 1, 2",
     "provider_issue_pivot": f"{_W}, {_Q} select model, count(*) as n, " + ", ".join(f"count(*) filter (rule = '{x}') as {x}" for x in ["refusal", "missing_source", "echo", "too_short", "too_long", "near_duplicate", "clean"]) + ", round(100.0::double * count(*) filter (rule <> 'clean') / count(*), 2) as issue_percent from q group by 1",
 }

@@ -223,6 +223,17 @@ def score_spread(spark, d):
     return m.agg(F.round(F.max("macro_f1") - F.min("macro_f1"), 6).alias("spread"), F.count(F.when(F.col("macro_f1") >= 0.99, 1)).alias("at_ceiling"), F.max_by("detector", F.struct("macro_f1", "detector")).alias("best"))
 
 
+def best_epoch(history: list[float], patience: int = 8) -> tuple[int, int]:
+    """The first epoch (from 0) of strictly highest score before training stops, and the epoch at which it stops."""
+    best, at = float("-inf"), 0
+    for i, score in enumerate(history):
+        if score > best:
+            best, at = score, i
+        elif i - at >= patience:
+            return at, i
+    return at, max(len(history) - 1, 0)
+
+
 def bootstrap_ci(spark, d, resamples=2000, seed=42):
     """Mean and 2.5 and 97.5 per cent points of macro-F1 over resamples of the lines.
 

@@ -113,6 +113,19 @@ def test_mcnemar():
     assert metrics.mcnemar_p(13, 3) == pytest.approx(0.0213, abs=1e-4) and metrics.mcnemar_p(0, 0) == 1.0
 
 
+def test_best_epoch():
+    assert metrics.best_epoch([0.1, 0.5, 0.5, 0.4] + [0.3] * 9 + [0.9]) == (1, 9) and metrics.best_epoch([0.1, 0.2]) == (1, 1) and metrics.best_epoch([]) == (0, 0)
+
+
+def test_results_folder(spark, tmp_path):
+    from pyspark.sql import types as ty
+
+    (tmp_path / "run__one.json").write_text(json.dumps({"n_records": 3}))
+    (tmp_path / "run__two.json").write_text("{ no json")
+    got = io.read_results(spark, str(tmp_path), ty.StructType([ty.StructField("n_records", ty.LongType())]), "run")
+    assert [(r["detector"], r["n_records"]) for r in got.collect() if r["n_records"]] == [("one", 3)]
+
+
 def test_detector_isolates_failures_and_resumes(spark):
     class Picky(detect.TypeTokenDetector):
         name = "picky"
