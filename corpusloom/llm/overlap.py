@@ -3,8 +3,9 @@
 Two records overlap if their texts are the same in normal form, or if the longest common subsequence L of their words
 (n and m of them) is at least nine tenths of the longer. Then n + m - 2L edits turn one into the other, at most
 k = n/5 for an evaluation text of n words. So of any k+1 disjoint segments of Q words of that text at least one stands
-unchanged in the training text, at most max(n, m)/10 words further left or right: the join loses no pair. Which k+1
-segments are cut is free; a dynamic program picks those that are rarest in the training texts, by a sketch of all of them.
+unchanged in the training text, at most max(n, m)/10 words further left or right: the join loses no pair. If the lengths
+differ, fewer edits are possible, and more than one segment must be left: pairs with too few are dropped. Which segments
+are cut is free; a dynamic program picks those that are rarest in the training texts, by a sketch of all of them.
 
 Rows of the join carry a bitmap of the text's less common words. Each word of one text without a partner costs at most
 one bit, and a pair may have n - L such words: pairs with more bits apart are dropped in the join, before anything is
@@ -153,13 +154,14 @@ def _segments(sketch, bitmap, common):
                 hs = [grams(w, Q) for w in _arrays(part.column("ws"))]
                 ns = part.column("n").to_numpy()
                 order = np.argsort(ns, kind="stable")
-                segs = [None] * len(hs)
+                segs, cut = [None] * len(hs), np.zeros(len(hs), np.int32)
                 for group in np.array_split(order, max(1, len(order) // 250)):  # texts of like length share a table
                     if len(group):
                         chosen = _rarest([sketch_get(sketch.value, SKETCH_BITS, hs[i]) for i in group], ns[group])
                         for i, c in zip(group, chosen, strict=True):
-                            segs[i] = c[bitmap_has(bitmap.value, BITMAP_BITS, hs[i][c])]
-                yield _rows(part, hs, segs, common.value)
+                            segs[i], cut[i] = c[bitmap_has(bitmap.value, BITMAP_BITS, hs[i][c])], len(c)
+                rows = _rows(part, hs, segs, common.value)
+                yield rows.append_column("chosen", pa.array(np.repeat(cut, [len(s) for s in segs]), pa.int32()))
 
     return run
 
@@ -219,6 +221,7 @@ def _substrings(bitmap, common):
 
 
 _SEGMENT = "seg bigint, fp bigint, n int, pos int, b0 bigint, b1 bigint"
+_CUT = _SEGMENT + ", chosen int"
 
 
 def one_of_each(texts: DataFrame) -> DataFrame:
@@ -249,17 +252,20 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     train, ev = texts.where("side = 'train'"), texts.where("side = 'eval'")
     all_grams = lambda b: np.concatenate([grams(w, Q) for w in _arrays(b.column("ws"))] or [np.empty(0, np.uint64)])
     there, counts = gather(train.select("ws"), all_grams, bitmap=BITMAP_BITS, sketch=SKETCH_BITS)
-    cut = written(ev.mapInArrow(_segments(sc.broadcast(counts), sc.broadcast(there), common), _SEGMENT), "segments")
+    cut = written(ev.mapInArrow(_segments(sc.broadcast(counts), sc.broadcast(there), common), _CUT), "segments")
     wanted, _ = gather(cut.select("seg", "n", "pos"), _wanted_places, bitmap=PLACE_BITS)
     found = train.mapInArrow(_substrings(sc.broadcast(wanted), common), _SEGMENT)
     e, t = cut.alias("e"), found.alias("t")
     longer = F.greatest("e.n", "t.n")
     apart = longer - F.floor((longer * 9 + 9) / 10)
-    least = F.ceil(longer * 0.9)
+    least = longer - apart
     bits = lambda a, b: sum(F.bit_count(F.col(f"{a}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{c}")))) for c in ("b0", "b1"))
     near = (F.col("e.seg") == F.col("t.seg")) & (F.least("e.n", "t.n") >= least) & (F.abs(F.col("e.pos") - F.col("t.pos")) <= apart) & (F.col("e.fp") != F.col("t.fp"))
     near = near & (bits("e", "t") <= F.col("e.n") - least) & (bits("t", "e") <= F.col("t.n") - least)
-    return e.join(t, near).select(F.col("e.fp").alias("fp_e"), F.col("t.fp").alias("fp_t")).distinct()
+    # of `chosen` segments at most as many are changed as there are edits: so many are left, and each gives a row
+    left = F.col("e.chosen") - (F.col("e.n") + F.col("t.n") - 2 * (longer - apart))
+    pairs = e.join(t, near).select(F.col("e.fp").alias("fp_e"), F.col("t.fp").alias("fp_t"), left.alias("left"))
+    return pairs.groupBy("fp_e", "fp_t").agg(F.count("*").alias("c"), F.min("left").alias("left")).where("c >= left").select("fp_e", "fp_t")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
