@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from corpusloom.functions import text as T
 from corpusloom.keys import TEXT_TABLES, author, first_arrivals, key, split_name, stripped, text_records
+from corpusloom.session import spread
 
 _K = "nullif(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '')"
 _S = "nullif(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '')"
@@ -32,13 +33,17 @@ _COLUMNS = {
     "model": lambda: stripped("model"), "prompt": lambda: F.col("prompt"), "src": lambda: key("source_text_id"), "split": lambda: split_name("split"), "n_words": lambda: T.n_words("text"), "refusal": lambda: T.is_refusal("text"),
     "stripped_hash": lambda: F.md5(T.strip("text")), "ascii_prefix": lambda: T.ascii_prefix("text"), "text_hash": lambda: F.md5("text"), "prompt_hash": lambda: F.md5("prompt"),
 }
+_COSTLY = {"n_words", "refusal", "stripped_hash", "ascii_prefix"}
 _READS = {"src": "source_text_id", "n_words": "text", "refusal": "text", "text_hash": "text", "stripped_hash": "text", "ascii_prefix": "text", "prompt_hash": "prompt"}
 
 
 def corpus(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
     """tbl, k, id, at and the columns asked for; derived ones are computed in the scan, so texts aren't shuffled for them."""
     reads = sorted({_READS.get(c, c) for c in columns} | {"id", "ingested_at"})
-    rows = text_records(spark, sf_dir, reads).select("tbl", key("id").alias("k"), F.col("ingested_at").alias("at"), "id", *[_COLUMNS[c]().alias(c) for c in columns])
+    rows = text_records(spark, sf_dir, reads)
+    if _COSTLY & set(columns):
+        rows = spread(rows)
+    rows = rows.select("tbl", key("id").alias("k"), F.col("ingested_at").alias("at"), "id", *[_COLUMNS[c]().alias(c) for c in columns])
     return first_arrivals(rows.where("k is not null"), "k", "at", ["at", "tbl", "id", *columns])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from corpusloom.functions import text as T
 from corpusloom.keys import first_arrivals, key, text_records
 from corpusloom.operators.corpus import _K, CORPUS, NW
-from corpusloom.session import table
+from corpusloom.session import spread, table
 
 _W = f"with {CORPUS}"
 #: Fixed value: sentences of an author's text that stand for it.
@@ -26,12 +26,12 @@ def _texts(spark, d, tables: tuple[str, ...]) -> DataFrame:
 
 
 def surface_stats(spark, d):
-    c = table(spark, d, "documents")
+    c = spread(table(spark, d, "documents").select("doc_id", "text"))
     return c.select("doc_id", *[v.alias(k) for k, v in T.surface("text").items()])
 
 
 def readability(spark, d):
-    c = table(spark, d, "documents")
+    c = spread(table(spark, d, "documents").select("doc_id", "text"))
     return c.select("doc_id", *[v.alias(k) for k, v in T.readability("text").items()])
 
 

@@ -50,6 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt over all cores; a larger one as it is.
+
+    For expressions that cost far more than moving a row. What is moved is at most a split for each core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of the folder sf_dir."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
