@@ -36,6 +36,8 @@ Q = 4
 BITMAP_BITS, PLACE_BITS, SKETCH_BITS = 26, 28, 22
 #: Lengths of two texts that may overlap are in the same or neighbouring classes of this ratio (a bit over 10/9).
 RATIO = 1.1112
+#: Rows carry 40 bits of a segment's hash: what falls together by chance is told apart when pairs are verified.
+SEG_SHIFT = np.uint64(24)
 #: Copies of a text on one side that are joined as they are; of more, one row is.
 COPIES = 8
 #: Words with more occurrences than this share of the texts have no bit.
@@ -171,7 +173,7 @@ def _rows(part: pa.RecordBatch, hs: list[np.ndarray], segs: list[np.ndarray], co
     owner = np.repeat(np.arange(len(hs)), count)
     seg = np.concatenate([h[s] for h, s in zip(hs, segs, strict=True)]) if hs else np.empty(0, np.uint64)
     pos = np.concatenate(segs) if segs else np.empty(0, np.int64)
-    cols = [pa.array(seg.view(np.int64))]
+    cols = [pa.array((seg >> SEG_SHIFT).view(np.int64))]
     cols += [part.column(c).take(pa.array(owner)) for c in ("fp", "n")]
     cols.append(pa.array(pos, pa.int32()))
     cols += [pa.array(b[owner]) for b in _bits(part, common)]
@@ -214,7 +216,7 @@ def _substrings(bitmap, common):
                 count = [len(h) for h in hs]
                 pos = np.concatenate([np.arange(c) for c in count]) if hs else np.empty(0, np.int64)
                 c = np.repeat(own, count)
-                has = bitmap_has(bitmap.value, PLACE_BITS, _place(np.concatenate(hs), c, pos // _width(c)))
+                has = bitmap_has(bitmap.value, PLACE_BITS, _place(np.concatenate(hs) >> SEG_SHIFT, c, pos // _width(c)))
                 yield _rows(part, hs, [np.flatnonzero(x) for x in np.split(has, np.cumsum(count)[:-1])], common.value)
 
     return run
