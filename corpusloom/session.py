@@ -46,7 +46,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
