@@ -27,7 +27,7 @@ REFUSAL_OPENINGS = (
     r"^\(?Note:",
 )
 REFUSAL = "(?i)" + "|".join(REFUSAL_OPENINGS)
-#: ASCII characters that the near-duplicate rule and the SQL compare by edit distance.
+#: ASCII characters that the SQL compares by edit distance; the queries compare whole texts.
 EDIT_PREFIX = 200
 #: Added before rounding, so that halves round alike in any engine.
 NUDGE = 1e-9
@@ -55,10 +55,6 @@ def is_refusal(c: Column | str) -> Column:
     return F.substring(text_of(c), 1, 200).rlike(REFUSAL)
 
 
-def ascii_prefix(c: Column | str) -> Column:
-    return F.substring(F.regexp_replace(text_of(c), "[^ -~]", ""), 1, EDIT_PREFIX)
-
-
 def edits(a: str, b: str) -> int:
     """Levenshtein distance over all characters: a column of the table at a time, a bit for each character (Hyyrö 2003)."""
     if a == b:

@@ -31,10 +31,10 @@ def nw(c: str) -> str:
 _COLUMNS = {
     "text": lambda: F.col("text"), "is_ai": lambda: F.col("is_ai"), "label": lambda: F.col("label"), "source": lambda: key("source"), "domain": lambda: stripped("domain"), "author_id": lambda: author("author_id"),
     "model": lambda: stripped("model"), "prompt": lambda: F.col("prompt"), "src": lambda: key("source_text_id"), "split": lambda: split_name("split"), "n_words": lambda: T.n_words("text"), "refusal": lambda: T.is_refusal("text"),
-    "stripped_hash": lambda: F.md5(T.strip("text")), "ascii_prefix": lambda: T.ascii_prefix("text"), "text_hash": lambda: F.md5("text"), "prompt_hash": lambda: F.md5("prompt"),
+    "stripped_hash": lambda: F.md5(T.strip("text")), "text_hash": lambda: F.md5("text"), "prompt_hash": lambda: F.md5("prompt"),
 }
-_COSTLY = {"n_words", "refusal", "stripped_hash", "ascii_prefix"}
-_READS = {"src": "source_text_id", "n_words": "text", "refusal": "text", "text_hash": "text", "stripped_hash": "text", "ascii_prefix": "text", "prompt_hash": "prompt"}
+_COSTLY = {"n_words", "refusal", "stripped_hash"}
+_READS = {"src": "source_text_id", "n_words": "text", "refusal": "text", "text_hash": "text", "stripped_hash": "text", "prompt_hash": "prompt"}
 
 
 def corpus(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
@@ -305,19 +305,21 @@ def length_ratio(spark, d):
 
 
 def paired_quality(spark, d, near=0.95):
-    """Rewrites by model and the first quality rule that holds: refusal, missing_source, echo, too_short, too_long, near_duplicate, clean."""
-    # all that the rules read of a text is computed in the scan: texts aren't shuffled
-    rec = corpus(spark, d, ["model", "src", "n_words", "refusal", "stripped_hash", "ascii_prefix"])
-    r = rec.where("tbl = 'rewritten_texts'").select("k", "model", "src", "refusal", F.col("n_words").alias("n"), F.col("stripped_hash").alias("s"), F.col("ascii_prefix").alias("a"))
-    h = rec.where("tbl = 'human_texts'").select(F.col("k").alias("src"), F.lit(True).alias("there"), F.col("n_words").alias("of"), F.col("stripped_hash").alias("os"), F.col("ascii_prefix").alias("b"))
+    """Rewrites by model and the first quality rule that holds: refusal, missing_source, echo, too_short, too_long, near_duplicate, clean.
+
+    A near duplicate differs in less than 1 - near of the longer text's characters, over the whole texts.
+    """
+    rec = corpus(spark, d, ["model", "src", "n_words", "refusal", "stripped_hash", "text"])
+    r = rec.where("tbl = 'rewritten_texts'").select("k", "model", "src", "refusal", F.col("n_words").alias("n"), F.col("stripped_hash").alias("s"), T.text_of("text").alias("a"))
+    h = rec.where("tbl = 'human_texts'").select(F.col("k").alias("src"), F.lit(True).alias("there"), F.col("n_words").alias("of"), F.col("stripped_hash").alias("os"), T.text_of("text").alias("b"))
     n, of = F.col("n"), F.col("of")
-    longer = F.greatest(F.length("a"), F.length("b"))
-    # the threshold lets levenshtein stop early; beyond it the answer is -1
-    most = int((1 - near) * T.EDIT_PREFIX)
-    dist = F.levenshtein("a", "b", most)
     rule = F.when(F.col("refusal"), "refusal").when(F.col("there").isNull(), "missing_source").when(F.col("s") == F.col("os"), "echo")
-    rule = rule.when((n < 30) | (n < 0.30 * of), "too_short").when(n > 2.0 * of, "too_long").when((longer > 0) & (dist >= 0) & (dist < (1 - near) * longer), "near_duplicate").otherwise("clean")
-    return r.join(h, "src", "left").select("k", "model", rule.alias("rule"))
+    rule = rule.when((n < 30) | (n < 0.30 * of), "too_short").when(n > 2.0 * of, "too_long")
+    j = r.join(h, "src", "left").withColumn("rule", rule).withColumn("most", (1 - near) * F.greatest(F.length("a"), F.length("b")))
+    # the distance is at least the difference in length: only pairs still open and nearly as long are compared
+    asked = F.col("rule").isNull() & (F.abs(F.length("a") - F.length("b")) < F.col("most"))
+    dist = T.edit_distance(F.when(asked, F.col("a")), F.when(asked, F.col("b")))
+    return j.select("k", "model", F.coalesce("rule", F.when(dist < F.col("most"), "near_duplicate"), F.lit("clean")).alias("rule"))
 
 
 def quality_rules(spark, d):
