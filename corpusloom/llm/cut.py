@@ -317,6 +317,47 @@ def candidates(recs: DataFrame) -> DataFrame:
     return recs.where("id is not null and text is not null").mapInArrow(_candidates, _CANDIDATE)
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low + 1 < high:
+        half = (low + high) // 2
+        low, high = (half, high) if a[low:half] == b[low:half] else (low, half)
+    return low
+
+
+def _outgrown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lines by head, sorted from the end: the cores at the start of a text that is more than 30 characters longer.
+
+    A line still to come can only be a beginning of the last one read, so of the texts read the longest is kept for each
+    length of their common beginning with that line; a hot head needs no more than this.
+    """
+    head, last = None, ""
+    longest: list[tuple[int, int]] = []  # (common beginning with last, length of the longest such text), rising in the first
+    for batch in batches:
+        heads, cores = [], []
+        for h, line, is_text in zip(*(batch.column(c).to_pylist() for c in ("head", "line", "is_text")), strict=True):
+            if h != head:
+                head, longest = h, []
+            n, common, most = len(line), _common(last, line), 0
+            while longest and longest[-1][0] >= common:
+                most = max(most, longest.pop()[1])
+            if most:
+                longest.append((common, most))
+            most = longest[-1][1] if longest and longest[-1][0] == n else 0
+            if is_text:
+                if most:
+                    longest.pop()
+                longest.append((n, max(n, most)))
+            elif most > n + 30:
+                heads.append(h)
+                cores.append(line)
+            last = line
+        yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.array(cores, pa.string())], ["head", "core"])
+
+
 def _longer_neighbours(cand: DataFrame, recs: DataFrame) -> DataFrame:
     """(tbl, id) of candidates whose text is the beginning of another text, seen by sorting texts that begin alike."""
     heads, _ = gather(cand.select("head"), lambda b: mixed(b.column("head").to_numpy().view(np.uint64)), bitmap=BITMAP_BITS - 4)
@@ -332,11 +373,8 @@ def _longer_neighbours(cand: DataFrame, recs: DataFrame) -> DataFrame:
     texts = recs.select("text").mapInArrow(alike, "head bigint, line string").distinct()
     asked = cand.where(F.length("core") >= HEAD).select("head", F.col("core").alias("line")).distinct()
     both = texts.select("head", "line", F.lit(1).alias("is_text")).unionByName(asked.select("head", "line", F.lit(0).alias("is_text")))
-    # of a core, its own text (core and mark) and longer texts come right after it, in the order of strings
-    w = W.partitionBy("head").orderBy("line", "is_text")
-    nexts = [F.lead(F.when(F.col("is_text") == 1, F.col("line")), k).over(w) for k in (1, 2, 3)]
-    longer = [F.coalesce(n.startswith(F.col("line")) & (F.length(n) > F.length("line") + 30), F.lit(False)) for n in nexts]
-    return both.withColumn("longer", longer[0] | longer[1] | longer[2]).where("is_text = 0 and longer").select("head", F.col("line").alias("core")).distinct()
+    # a head's lines from the end of the sort: the texts that start with a core come before it, however many they are
+    return both.repartition("head").sortWithinPartitions("head", F.desc("line")).mapInArrow(_outgrown, "head bigint, core string").distinct()
 
 
 def truncated(recs: DataFrame, originals: DataFrame) -> DataFrame:
