@@ -97,10 +97,27 @@ def _node(prefix: str) -> int:
     return int(mixed(np.array([zlib.crc32(prefix.encode("utf-8", "replace")) | (len(prefix) << 40) | (1 << 62)], np.uint64))[0])
 
 
+def _without_end(text: str) -> str:
+    """The text without the blanks, invisible characters, tags and blank entities at its end, however many they are."""
+    end = len(text)
+    while end:
+        c = text[end - 1]
+        if c.isspace() or c in _SPACE or (INVISIBLE.fullmatch(c) and not unicodedata.combining(c)):
+            end -= 1
+            continue
+        begin = text.rfind("<" if c == ">" else "&", max(0, end - 400), end) if c in ">;" else -1
+        if begin < 0 or not (TAG.fullmatch(text, begin, end) if c == ">" else not INVISIBLE.sub("", html.unescape(text[begin:end])).strip()):
+            break
+        end = begin
+    return text[:end]
+
+
 def ending(text: str | None) -> tuple[str, bool, bool] | None:
     """For a candidate: the text up to its mark, whether it has a mark, and whether it ends where no sentence can; else None."""
     if not text:
         return None
+    if len(text) > 400:
+        text = _without_end(text)
     end = text[-40:].rstrip()
     if end[-1:] in (".", "!", "?") and end[-2:-1].isalnum():
         return None

@@ -32,3 +32,11 @@ def test_neighbours_against_brute_force(spark):
     cores = list({t[: rng.randrange(115, len(t) + 1)] for t in texts})
     want = brute(cores, texts)
     assert longer(spark, cores, texts) == want and 20 < len(want) < len(cores)
+
+
+def test_endings_before_long_blanks():
+    for junk in (" ", "\n", "\u200b", "<br/>", "</p> ", "&nbsp;"):
+        assert cut.ending("and then it was withou" + junk * 500) == ("and then it was withou", False, False)
+        assert cut.ending("It was whole." + junk * 500) is None
+    assert cut.ending("<p></p>" * 200) is None and cut.ending(" " * 900) is None
+    assert cut.ending("x" * 400 + " they sat in the cafe\u0301")[0].endswith("café")
