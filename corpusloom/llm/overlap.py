@@ -5,14 +5,20 @@ Two records overlap if their texts are the same in normal form, or if the longes
 k = n/5 for an evaluation text of n words. So of any k+1 disjoint segments of Q words of that text at least one stands
 unchanged in the training text, at most max(n, m)/10 words further left or right: the join loses no pair. If the lengths
 differ, fewer edits are possible, and more than one segment must be left: pairs with too few are dropped. Which segments
-are cut is free; a dynamic program picks those that are rarest in the training texts, by a sketch of all of them.
-
-Rows of the join carry a bitmap of the text's less common words. Each word of one text without a partner costs at most
-one bit, and a pair may have n - L such words: pairs with more bits apart are dropped in the join, before anything is
-shuffled. What is left is verified by banded dynamic programming over the whole texts.
-
-Copies: pairs are between distinct texts (fingerprints), and of a text that came more than COPIES times on a side one row
-is cut into segments; ids come back at the end.
+are cut is free: of the four ways to tile the text, the k+1 rarest tiles of the way with the rarest, by a sketch of all
+training texts. The sketch has a fixed size; however many texts it counts, segments that are frequent for their number
+stand out, and no result hangs on it.
+
+Nothing that grows with the data is broadcast, and nothing saturates: every place of every training text goes through
+the shuffle, packed. A worker sorts the places of some thousand texts by (segment, length class), and sends each bucket
+one block of sorted hashes, text numbers and positions, about six bytes a place. A bucket holds a bounded number of
+places, whatever the input; a frequent segment is spread over its length classes. Buckets are matched by sorted search,
+lengths and positions are checked there, and only pairs of texts come back. What is left is verified by banded dynamic
+programming over the whole texts.
+
+Copies: pairs are between distinct texts (by the fingerprint `wfp` of their words), and of a text that came more than
+COPIES times on a side one row is cut into segments; ids come back at the end. `fp`, the fingerprint without the spaces,
+finds texts that differ in spacing only.
 """
 
 from __future__ import annotations
@@ -22,27 +28,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.keys import key, split_name, stripped, text_records
-from corpusloom.llm.bits import bitmap_has, gather, sketch_get
+from corpusloom.llm.bits import gather, marked, only_members, sketch_get
 from corpusloom.llm.words import Hashes, common_in_order, grams, mixed, words
 from corpusloom.session import written
 
 MIN_WORDS = 50
 Q = 4
-#: Sizes of what is broadcast, whatever the input: 8 MB for a bitmap, 32 MB for that of wanted places, 8 MB for the sketch.
-BITMAP_BITS, PLACE_BITS, SKETCH_BITS = 26, 28, 22
-#: Lengths of two texts that may overlap are in the same or neighbouring classes of this ratio (a bit over 10/9).
-RATIO = 1.1112
-#: Rows carry 40 bits of a segment's hash: what falls together by chance is told apart when pairs are verified.
-SEG_SHIFT = np.uint64(24)
+#: 8 MB for the sketch, whatever the input.
+SKETCH_BITS = 22
+#: Lengths of two texts that may overlap (a factor of 10/9 at most) lie in one or two classes of this ratio.
+RATIO = (10 / 9) ** 4
 #: Copies of a text on one side that are joined as they are; of more, one row is.
 COPIES = 8
-#: Words with more occurrences than this share of the texts have no bit.
-COMMON = 0.15
-_TEXTS = "id string, at timestamp, side string, n int, fp bigint, ws array<int>"
+#: Places a worker sorts at a time, and places a bucket holds at most and at least (on average).
+SORTED, MOST, LEAST = 4_000_000, 8_000_000, 2_000_000
+#: Pairs of places looked at at a time.
+AT_ONCE = 2_000_000
+_TEXTS = "ref bigint, id string, at timestamp, side string, n int, fp bigint, wfp bigint, ws array<int>"
 
 
 def max_apart(longer: np.ndarray | int) -> np.ndarray | int:
@@ -57,217 +65,230 @@ def _arrays(col: pa.ListArray) -> list[np.ndarray]:
     return [flat[at[i] : at[i + 1]] for i in range(len(col))]
 
 
+def _fingerprint(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
+
+
 def _normalise(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
+        ref = TaskContext.get().partitionId() << 36
         for batch in batches:
-            keep, n, fp, flat = [], [], [], []
+            keep, n, fp, wfp, flat = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ws = words(text)
                 if len(ws) >= min_words:
                     keep.append(i)
                     n.append(len(ws))
-                    fp.append(int.from_bytes(hashlib.blake2b(b"".join(ws), digest_size=8).digest(), "big", signed=True))
+                    fp.append(_fingerprint(b"".join(ws)))
+                    wfp.append(_fingerprint(b" ".join(ws)))
                     flat.append(hashes.of(ws))
             part = batch.take(pa.array(keep, pa.int64()))
             ends = np.cumsum([0, *n])
             ws_col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).view(np.int32) if flat else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("at"), part.column("side"), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), ws_col], ["id", "at", "side", "n", "fp", "ws"])
+            cols = [pa.array(np.arange(ref, ref + len(keep))), part.column("id"), part.column("at"), part.column("side"), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(wfp, pa.int64()), ws_col]
+            yield pa.RecordBatch.from_arrays(cols, ["ref", "id", "at", "side", "n", "fp", "wfp", "ws"])
+            ref += len(keep)
 
     return run
 
 
 def normalised(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, at, side (train or eval) and the words' hashes of each record with a split and enough words."""
+    """ref (a number of the row), id, at, side (train or eval) and the words' hashes of each record with a split and enough words."""
+    if min_words < 5 * Q:
+        raise ValueError(f"texts of fewer than {5 * Q} words can't be cut into enough segments")
     side = F.when(F.col("split") == "train", "train").when(F.col("split").isin("val", "test"), "eval")
     rows = records.select("id", "at", "text", side.alias("side")).where("side is not null and id is not null and text is not null")
     return rows.mapInArrow(_normalise(min_words), _TEXTS)
 
 
-def _rarest(freq: list[np.ndarray], ns: np.ndarray) -> list[np.ndarray]:
-    """For each text, starts of at least n/5 + 1 disjoint segments of Q words of about the least total frequency.
-
-    Segments with a price off: for a discount d the program takes any disjoint segments that make the sum of (frequency
-    - d) least, and the least d that gives enough of them is found by halving; all texts of the batch at once.
-    """
-    size, longest = len(ns), int(ns.max())
-    need = (ns + 4) // 5 + 1
-    f = np.full((longest + 1, size), np.inf)
-    for j, x in enumerate(freq):
-        f[Q : Q + len(x), j] = x  # row i: the segment that ends before word i
-    lo, hi = np.zeros(size), np.full(size, 70000.0)
-    best: np.ndarray | None = None
-    for step in range(18):
-        d = hi if step == 0 else (lo + hi) / 2
-        cost, count = np.zeros((longest + 1, size)), np.zeros((longest + 1, size), np.int32)
-        take = np.zeros((longest + 1, size), bool)
-        for i in range(1, longest + 1):
-            if i >= Q:
-                with_it = cost[i - Q] + f[i] - d
-                t = with_it < cost[i - 1]
-                take[i] = t
-                cost[i] = np.where(t, with_it, cost[i - 1])
-                count[i] = np.where(t, count[i - Q] + 1, count[i - 1])
-        enough = count[ns, np.arange(size)] >= need
-        if best is None:
-            best = take
-        else:
-            best = np.where(enough, take, best)
-            lo, hi = np.where(enough, lo, d), np.where(enough, d, hi)
-    out = []
-    for j, n in enumerate(ns):
-        i, starts, column = int(n), [], best[:, j]
-        while i >= Q:
-            if column[i]:
-                i -= Q
-                starts.append(i)
-            else:
-                i -= 1
-        out.append(np.array(starts[::-1], np.int64))
-    return out
-
-
-def common_words(texts: DataFrame, share: float = COMMON) -> np.ndarray:
-    """Words (hashes) with more occurrences than that share of the texts; at most mean length / share of them."""
-    total = texts.count()
-    counts = texts.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") > share * total)
-    return np.sort(np.array([r["w"] for r in counts.select("w").collect()], np.int32).view(np.uint32))
+def _flat_grams(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all runs of Q words within the texts: hash, number of the text in the batch, position."""
+    flat = col.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+    at = col.offsets.to_numpy().astype(np.int64)
+    count = np.maximum(np.diff(at) - Q + 1, 0)
+    doc = np.repeat(np.arange(len(col)), count)
+    pos = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    return grams(flat, Q)[(at[:-1] - at[0])[doc] + pos], doc, pos
 
 
-def _bits(part: pa.RecordBatch, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit masks for each text, of its words that aren't common."""
-    col = part.column("ws")
-    w = col.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-    owner = np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))
-    rare = ~np.isin(w, common)
-    has = np.zeros((len(col), 128), bool)
-    has[owner[rare], w[rare] >> np.uint32(25)] = True
-    masks = np.packbits(has, axis=1).view(np.int64).reshape(-1, 2)
-    return masks[:, 0], masks[:, 1]
+def rarest(freq: np.ndarray, first: np.ndarray, ns: np.ndarray) -> list[np.ndarray]:
+    """For each text, starts of n//5 + 1 disjoint segments of Q words of about the least total frequency.
 
+    freq: frequencies of all grams, first: where each text's begin, ns: words of each text (of like length, at least
+    5 * Q). The text is tiled from its first to fourth word on; of the tiling whose rarest n//5 + 1 tiles are rarest
+    in all, these are taken.
+    """
+    need = ns // 5 + 1
+    most = int(ns.max()) // Q
+    start = np.arange(Q)[:, None] + Q * np.arange(most)[None, :]  # (way, tile)
+    there = start[None] + Q <= ns[:, None, None]
+    f = np.where(there, freq[np.minimum(first[:, None, None] + start[None], len(freq) - 1)].astype(np.float64), np.inf)
+    order = np.argsort(f, axis=2, kind="stable")
+    total = np.cumsum(np.take_along_axis(f, order, 2), axis=2)
+    row = np.arange(len(ns))
+    way = total[row, :, need - 1].argmin(1)
+    return [np.sort(start[w, order[i, w, : need[i]]]) for i, w in enumerate(way)]
 
-def _segments(sketch, bitmap, common):
-    """Rows (seg, fp, n, pos, b0, b1) of the segments cut from evaluation texts that some training text may hold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                hs = [grams(w, Q) for w in _arrays(part.column("ws"))]
-                ns = part.column("n").to_numpy()
-                order = np.argsort(ns, kind="stable")
-                segs, cut = [None] * len(hs), np.zeros(len(hs), np.int32)
-                for group in np.array_split(order, max(1, len(order) // 250)):  # texts of like length share a table
-                    if len(group):
-                        chosen = _rarest([sketch_get(sketch.value, SKETCH_BITS, hs[i]) for i in group], ns[group])
-                        for i, c in zip(group, chosen, strict=True):
-                            segs[i], cut[i] = c[bitmap_has(bitmap.value, BITMAP_BITS, hs[i][c])], len(c)
-                rows = _rows(part, hs, segs, common.value)
-                yield rows.append_column("chosen", pa.array(np.repeat(cut, [len(s) for s in segs]), pa.int32()))
+def _class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / np.log(RATIO) + 1e-9).astype(np.int64)
 
-    return run
 
+def _place(gram: np.ndarray, of_class: np.ndarray) -> np.ndarray:
+    return mixed(gram + of_class.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-def _rows(part: pa.RecordBatch, hs: list[np.ndarray], segs: list[np.ndarray], common: np.ndarray) -> pa.RecordBatch:
-    count = [len(s) for s in segs]
-    owner = np.repeat(np.arange(len(hs)), count)
-    seg = np.concatenate([h[s] for h, s in zip(hs, segs, strict=True)]) if hs else np.empty(0, np.uint64)
-    pos = np.concatenate(segs) if segs else np.empty(0, np.int64)
-    cols = [pa.array((seg >> SEG_SHIFT).view(np.int64))]
-    cols += [part.column(c).take(pa.array(owner)) for c in ("fp", "n")]
-    cols.append(pa.array(pos, pa.int32()))
-    cols += [pa.array(b[owner]) for b in _bits(part, common)]
-    return pa.RecordBatch.from_arrays(cols, ["seg", "fp", "n", "pos", "b0", "b1"])
 
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of an array, first all first bytes: what is alike stands together."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
-def _class(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(n) / np.log(RATIO)).astype(np.int64)
 
+def _from_planes(data: memoryview, dtype: type, n: int) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size).reshape(size, n).T).view(dtype).reshape(n)
 
-def _width(of_class: np.ndarray) -> np.ndarray:
-    """At least the words by which a segment of a training text in this class may be moved."""
-    return np.floor(0.1 * RATIO ** (of_class + 2)).astype(np.int64) + 1
 
+def pack(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, ref: np.ndarray, ns: np.ndarray) -> bytes:
+    """A block: sorted 32-bit hashes, the text (an index into ref and ns) and position of each."""
+    parts = [np.array([len(hashes), len(ref)], np.int64).tobytes()]
+    parts += [_planes(a) for a in (hashes.astype(np.uint32), doc.astype(np.uint32), pos.astype(np.uint32), np.diff(ref, prepend=0).astype(np.int64), ns.astype(np.uint32))]
+    return zstandard.ZstdCompressor(1).compress(b"".join(parts))
 
-def _place(seg: np.ndarray, of_class: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    return mixed(seg + of_class.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + bucket.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
+def unpack(block: bytes) -> tuple[np.ndarray, ...]:
+    """hashes, ref, ns and pos of each place of a block."""
+    data = memoryview(zstandard.ZstdDecompressor().decompress(block))
+    n, texts = np.frombuffer(data, np.int64, 2)
+    at, out = 16, []
+    for dtype, count in ((np.uint32, n), (np.uint32, n), (np.uint32, n), (np.int64, texts), (np.uint32, texts)):
+        out.append(_from_planes(data[at:], dtype, count))
+        at += np.dtype(dtype).itemsize * count
+    hashes, doc, pos, ref, ns = out
+    return hashes, np.cumsum(ref)[doc], ns[doc].astype(np.int64), pos.astype(np.int64)
 
-def _wanted_places(batch: pa.RecordBatch) -> np.ndarray:
-    """Segment, length class and part of the text of every place in a training text that a cut segment may match."""
-    seg, n, pos = (batch.column(c).to_numpy() for c in ("seg", "n", "pos"))
-    seg, own = seg.view(np.uint64), _class(n)
-    out = []
-    for near in (-1, 0, 1):
-        width = _width(own + near)
-        out += [_place(seg, own + near, pos // width + by) for by in (-1, 0, 1)]
-    return np.concatenate(out)
 
+def _blocks(is_eval: bool, buckets: int, sketch):
+    """Blocks of the places of training texts, or of the segments cut from evaluation texts, by bucket."""
 
-def _substrings(bitmap, common):
-    """The same rows of all places of training texts where a wanted segment may stand."""
+    def places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, doc, pos = _flat_grams(batch.column("ws"))
+        ns = batch.column("n").to_numpy().astype(np.int64)
+        if not is_eval:
+            return _place(h, _class(ns)[doc]), doc, pos
+        freq = sketch_get(sketch.value, SKETCH_BITS, h)
+        first = np.concatenate([[0], np.cumsum(ns - Q + 1)])[:-1]
+        chosen = []
+        by_length = np.argsort(ns, kind="stable")
+        for group in np.array_split(by_length, max(1, len(ns) // 250)):  # texts of like length share a table
+            if len(group):
+                chosen += [first[i] + s for i, s in zip(group, rarest(freq, first[group], ns[group]), strict=True)]
+        at = np.concatenate(chosen)
+        at = at[freq[at] > 0]  # others stand in no training text
+        h, doc, pos = h[at], doc[at], pos[at]
+        low, high = _class(np.ceil(ns * 0.9))[doc], _class(ns / 0.9)[doc]
+        both = low < high
+        return np.concatenate([_place(h, low), _place(h[both], high[both])]), np.concatenate([doc, doc[both]]), np.concatenate([pos, pos[both]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        texts = size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, doc, pos, ref, ns = (np.concatenate(x) for x in zip(*[(h, doc, pos, r, n) for h, doc, pos, r, n in held], strict=True))
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.argsort((bucket << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)))
+            h, doc, pos = (h & np.uint64(0xFFFFFFFF))[order], doc[order], pos[order]
+            ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+            for b in range(buckets):
+                own = slice(ends[b - 1] if b else 0, ends[b])
+                if own.start < own.stop:
+                    there = np.zeros(len(ref), bool)
+                    there[doc[own]] = True
+                    block = pack(h[own], (np.cumsum(there) - 1)[doc[own]], pos[own], ref[there], ns[there])
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([is_eval]), pa.array([block], pa.binary())], ["bucket", "is_eval", "block"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                hs = [grams(w, Q) for w in _arrays(part.column("ws"))]
-                own = _class(part.column("n").to_numpy())
-                count = [len(h) for h in hs]
-                pos = np.concatenate([np.arange(c) for c in count]) if hs else np.empty(0, np.int64)
-                c = np.repeat(own, count)
-                has = bitmap_has(bitmap.value, PLACE_BITS, _place(np.concatenate(hs) >> SEG_SHIFT, c, pos // _width(c)))
-                yield _rows(part, hs, [np.flatnonzero(x) for x in np.split(has, np.cumsum(count)[:-1])], common.value)
+            for begin in range(0, batch.num_rows, 2000):
+                part = batch.slice(begin, 2000)
+                h, doc, pos = places(part)
+                held.append((h, doc + texts, pos, part.column("ref").to_numpy(), part.column("n").to_numpy()))
+                texts += part.num_rows
+                size += len(h)
+                if size >= SORTED:
+                    yield from flush()
+                    held, texts, size = [], 0, 0
+        if size:
+            yield from flush()
 
     return run
 
 
-_SEGMENT = "seg bigint, fp bigint, n int, pos int, b0 bigint, b1 bigint"
-_CUT = _SEGMENT + ", chosen int"
+def _matched(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket's blocks the pairs of texts with a segment in common at places and of lengths that allow an overlap."""
+    ev: list[tuple[np.ndarray, ...]] = []
+    train: list[bytes] = []
+    for batch in batches:
+        for is_eval, block in zip(batch.column("is_eval").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            if is_eval:
+                ev.append(unpack(block))
+            else:
+                train.append(block)
+    if not ev or not train:
+        return
+    h, ref, n, pos = (np.concatenate(x) for x in zip(*ev, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, ref, n, pos = h[order], ref[order], n[order], pos[order]
+    del ev
+    for block in train:
+        th, tref, tn, tpos = unpack(block)
+        low = np.searchsorted(h, th)
+        hit = np.flatnonzero(h[np.minimum(low, len(h) - 1)] == th)
+        low = low[hit]
+        count = np.searchsorted(h, th[hit], "right") - low
+        done = np.cumsum(count)
+        i = 0
+        while i < len(hit):
+            j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + AT_ONCE, "right")))
+            c = count[i:j]
+            t = np.repeat(hit[i:j], c)
+            e = np.repeat(low[i:j] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            longer = np.maximum(n[e], tn[t])
+            apart = max_apart(longer)
+            ok = (np.minimum(n[e], tn[t]) >= longer - apart) & (np.abs(pos[e] - tpos[t]) <= apart)
+            e, t = e[ok], t[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(ref[e]), pa.array(tref[t]), pa.array(n[e], pa.int32()), pa.array(tn[t], pa.int32())], ["ref_e", "ref_t", "n_e", "n_t"])
+            i = j
 
 
 def one_of_each(texts: DataFrame) -> DataFrame:
     """One row for each text of a side with more than COPIES copies; only rows of such texts are shuffled."""
-    often = texts.groupBy("fp", "side").agg(F.count("*").alias("c")).where(F.col("c") > COPIES).select("fp")
-    found, _ = gather(often, _fp_hash, bitmap=BITMAP_BITS - 3)
-    if not found.any():
+    often = written(texts.groupBy("wfp", "side").agg(F.count("*").alias("c")).where(F.col("c") > COPIES).select("wfp").distinct(), "often")
+    texts = texts.select("ref", "side", "n", "wfp", "ws")
+    if often.isEmpty():
         return texts
-    cells = texts.sparkSession.sparkContext.broadcast(found)
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column("often", pa.array(bitmap_has(cells.value, BITMAP_BITS - 3, _fp_hash(batch))))
-
-    rows = texts.select("side", "fp", "n", "ws").mapInArrow(marked, "side string, fp bigint, n int, ws array<int>, often boolean")
-    once = rows.where("not often").drop("often")
-    return once.unionByName(rows.where("often").drop("often").dropDuplicates(["side", "fp"]))
-
-
-def _fp_hash(batch: pa.RecordBatch) -> np.ndarray:
-    return mixed(batch.column("fp").to_numpy().view(np.uint64))
+    rows = marked(texts, "wfp", often)
+    once = rows.where("marked").drop("marked").dropDuplicates(["side", "wfp"])  # rows that agree in these agree in n and ws
+    return rows.where("not marked").drop("marked").unionByName(once)
 
 
 def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (fp_e, fp_t) of distinct texts that share a segment at an allowed place and aren't told apart by their bits."""
-    sc = texts.sparkSession.sparkContext
-    common = sc.broadcast(common_words(texts))
+    """Pairs (ref_e, ref_t) of rows that share as many segments at allowed places as an overlap leaves."""
+    spark = texts.sparkSession
+    texts = one_of_each(texts)
     train, ev = texts.where("side = 'train'"), texts.where("side = 'eval'")
-    all_grams = lambda b: np.concatenate([grams(w, Q) for w in _arrays(b.column("ws"))] or [np.empty(0, np.uint64)])
-    there, counts = gather(train.select("ws"), all_grams, bitmap=BITMAP_BITS, sketch=SKETCH_BITS)
-    cut = written(ev.mapInArrow(_segments(sc.broadcast(counts), sc.broadcast(there), common), _CUT), "segments")
-    wanted, _ = gather(cut.select("seg", "n", "pos"), _wanted_places, bitmap=PLACE_BITS)
-    found = train.mapInArrow(_substrings(sc.broadcast(wanted), common), _SEGMENT)
-    e, t = cut.alias("e"), found.alias("t")
-    longer = F.greatest("e.n", "t.n")
-    apart = longer - F.floor((longer * 9 + 9) / 10)
-    least = longer - apart
-    bits = lambda a, b: sum(F.bit_count(F.col(f"{a}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{c}")))) for c in ("b0", "b1"))
-    near = (F.col("e.seg") == F.col("t.seg")) & (F.least("e.n", "t.n") >= least) & (F.abs(F.col("e.pos") - F.col("t.pos")) <= apart) & (F.col("e.fp") != F.col("t.fp"))
-    near = near & (bits("e", "t") <= F.col("e.n") - least) & (bits("t", "e") <= F.col("t.n") - least)
-    # of `chosen` segments at most as many are changed as there are edits: so many are left, and each gives a row
-    left = F.col("e.chosen") - (F.col("e.n") + F.col("t.n") - 2 * (longer - apart))
-    pairs = e.join(t, near).select(F.col("e.fp").alias("fp_e"), F.col("t.fp").alias("fp_t"), left.alias("left"))
-    return pairs.groupBy("fp_e", "fp_t").agg(F.count("*").alias("c"), F.min("left").alias("left")).where("c >= left").select("fp_e", "fp_t")
+    _, counts = gather(train.select("ws"), lambda b: _flat_grams(b.column("ws"))[0], sketch=SKETCH_BITS)
+    places = train.agg(F.sum("n")).first()[0] or 0
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(min(max(4 * tasks, places // MOST), max(16, places // LEAST)))
+    schema = "bucket int, is_eval boolean, block binary"
+    blocks = train.select("ref", "n", "ws").mapInArrow(_blocks(False, buckets, None), schema).unionByName(ev.select("ref", "n", "ws").mapInArrow(_blocks(True, buckets, spark.sparkContext.broadcast(counts)), schema))
+    hits = blocks.groupBy("bucket").applyInArrow(_matched, "ref_e bigint, ref_t bigint, n_e int, n_t int")
+    # of n_e // 5 + 1 segments at most as many are changed as there are edits: the others are found, each once
+    longer = F.greatest("n_e", "n_t")
+    edits = F.col("n_e") + F.col("n_t") - 2 * F.floor((longer * 9 + 9) / 10)
+    left = F.floor(F.col("n_e") / 5) + 1 - edits
+    return hits.groupBy("ref_e", "ref_t").agg(F.count("*").alias("c"), F.min(left).alias("left")).where("c >= left").select("ref_e", "ref_t")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,24 +301,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # words that only one of them has can't have a partner
             near = len(one - two) <= apart and len(two - one) <= apart
             keep.append(near and 10 * common_in_order(a, b, apart + 1) >= 9 * longer)
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["fp_e", "fp_t"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["wfp_e", "wfp_t"])
 
 
 def near_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (fp_e, fp_t) of distinct texts that agree in nine tenths of their words in order."""
-    sc = texts.sparkSession.sparkContext
-    pairs = written(candidate_pairs(texts), "pairs")
-    ends = pairs.select(F.explode(F.array("fp_e", "fp_t")).alias("fp"))
-    wanted, _ = gather(ends, _fp_hash, bitmap=BITMAP_BITS - 3)
-    cells = sc.broadcast(wanted)
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(bitmap_has(cells.value, BITMAP_BITS - 3, _fp_hash(batch))))
-
-    few = texts.select("fp", "ws").mapInArrow(some, "fp bigint, ws array<int>").dropDuplicates(["fp"])
-    both = pairs.join(few.select(F.col("fp").alias("fp_e"), F.col("ws").alias("ws_e")), "fp_e").join(few.select(F.col("fp").alias("fp_t"), F.col("ws").alias("ws_t")), "fp_t")
-    return both.select("fp_e", "fp_t", "ws_e", "ws_t").mapInArrow(_verify, "fp_e bigint, fp_t bigint")
+    """Pairs (wfp_e, wfp_t) of texts, not the same but for spaces, that agree in nine tenths of their words in order."""
+    found = written(candidate_pairs(texts), "pairs")
+    ends = written(found.select(F.explode(F.array("ref_e", "ref_t")).alias("ref")).distinct(), "ends")
+    some = written(only_members(texts.select("ref", "wfp", "fp", "ws"), "ref", ends), "ends")
+    names = some.select("ref", "wfp", "fp")
+    of = lambda side: names.select(*[F.col(c).alias(f"{c}_{side}") for c in ("ref", "wfp", "fp")])
+    pairs = found.join(of("e"), "ref_e").join(of("t"), "ref_t").where("fp_e <> fp_t").select("wfp_e", "wfp_t").distinct()
+    whole = some.select("wfp", "ws").dropDuplicates(["wfp"])
+    both = pairs.join(whole.select(F.col("wfp").alias("wfp_e"), F.col("ws").alias("ws_e")), "wfp_e").join(whole.select(F.col("wfp").alias("wfp_t"), F.col("ws").alias("ws_t")), "wfp_t")
+    return both.select("wfp_e", "wfp_t", "ws_e", "ws_t").mapInArrow(_verify, "wfp_e bigint, wfp_t bigint")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,28 +322,40 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(stripped("id").alias("id"), "text", split_name("split").alias("split"), "source", F.col("ingested_at").alias("at"))
 
 
-def _first_only(rows: DataFrame, firsts: DataFrame, id_col: str, at_col: str) -> DataFrame:
-    """Rows whose id at that time is the first arrival of its key."""
-    f = firsts.select(F.col("k").alias("_k"), F.col("at").alias("_at"))
-    return rows.join(f, (key(id_col) == F.col("_k")) & F.col(at_col).eqNullSafe(F.col("_at"))).drop("_k", "_at")
+def _classes(recs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """ids: fp, wfp, id, k, side of each record that counts (the first arrival of its key); near: pairs (wfp_e, wfp_t)."""
+    texts = written(normalised(recs, min_words), "texts")
+    # min() skips nulls: a key with a time that is null and others counts by the others
+    firsts = recs.select(key("id").alias("k"), "at").where("k is not null").groupBy("k").agg(F.min("at").alias("_at"))
+    ids = texts.select("fp", "wfp", "id", key("id").alias("k"), "at", "side").join(firsts, "k")
+    return ids.where(F.col("at").eqNullSafe(F.col("_at"))).select("fp", "wfp", "id", "k", "side"), near_pairs(texts)
 
 
 def overlaps(recs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """id_e, id_t, exact of each evaluation record and training record that overlap.
 
     recs: id, text, split (train, val, test or null) and at (time of arrival). A key that came more than once counts
-    as it came first. Records with no split, another split, no id, no text or fewer than min_words words are in no
-    pair; further columns of recs aren't read. Texts of any length are compared whole. An empty table gives no pairs.
+    as it came first. Records with no split, another split, no id, no text or fewer than min_words words (20 at least)
+    are in no pair; further columns of recs aren't read. Texts of any length are compared whole. An empty table gives no
+    pairs.
     """
-    texts = written(normalised(recs, min_words), "texts")
-    # min() skips nulls: a key with a time that is null and others counts by the others
-    firsts = recs.select(key("id").alias("k"), "at").where("k is not null").groupBy("k").agg(F.min("at").alias("at"))
-    same = texts.groupBy("fp").agg(F.bool_or(F.col("side") == "eval").alias("e"), F.bool_or(F.col("side") == "train").alias("t")).where("e and t")
-    pairs = near_pairs(one_of_each(texts)).withColumn("exact", F.lit(False)).unionByName(same.select(F.col("fp").alias("fp_e"), F.col("fp").alias("fp_t"), F.lit(True).alias("exact")))
-    ids = texts.select("fp", "id", "at", "side")
-    e = _first_only(ids.where("side = 'eval'"), firsts, "id", "at").select(F.col("fp").alias("fp_e"), F.col("id").alias("id_e"))
-    t = _first_only(ids.where("side = 'train'"), firsts, "id", "at").select(F.col("fp").alias("fp_t"), F.col("id").alias("id_t"))
-    return pairs.join(e, "fp_e").join(t, "fp_t").select("id_e", "id_t", "exact").distinct()
+    ids, near = _classes(recs, min_words)
+    of = lambda side, by: ids.where(F.col("side") == {"e": "eval", "t": "train"}[side]).select(F.col(by).alias(f"{by}_{side}"), F.col("id").alias(f"id_{side}"))
+    same = of("e", "fp").join(of("t", "fp"), F.col("fp_e") == F.col("fp_t")).select("id_e", "id_t", F.lit(True).alias("exact"))
+    return near.join(of("e", "wfp"), "wfp_e").join(of("t", "wfp"), "wfp_t").select("id_e", "id_t", F.lit(False).alias("exact")).unionByName(same).distinct()
+
+
+def links(recs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """k, n_links (training records that overlap) and exact of each evaluation record that overlaps; no pairs are built."""
+    ids, near = _classes(recs, min_words)
+    ids = written(ids.distinct(), "ids")
+    train = ids.where("side = 'train'")
+    by_fp = train.groupBy("fp").agg(F.countDistinct("k").alias("n_same"))
+    by_wfp = train.groupBy(F.col("wfp").alias("wfp_t")).agg(F.countDistinct("k").alias("n"))
+    n_near = near.join(by_wfp, "wfp_t").groupBy(F.col("wfp_e").alias("wfp")).agg(F.sum("n").alias("n_near"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    every = ids.where("side = 'eval'").join(by_fp, "fp", "left").join(n_near, "wfp", "left")
+    return every.groupBy("k").agg(F.max(n("n_same") + n("n_near")).alias("n_links"), F.max(n("n_same") > 0).alias("exact")).where("n_links > 0")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,10 +366,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split and source of the evaluation records: how many there are, how many overlap with training, how many exactly."""
     recs = records(spark, sf_dir)
-    hit = overlaps(recs).groupBy(key("id_e").alias("k")).agg(F.bool_or("exact").alias("exact"), F.count("*").alias("links"))
     every = recs.where("split in ('val', 'test')").select(key("id").alias("k"), "split", key("source").alias("source")).where("k is not null").dropDuplicates(["k"])
     n = lambda c: F.count(F.when(c, 1))
-    return every.join(hit, "k", "left").groupBy("split", "source").agg(F.count("*").alias("n_records"), n(F.col("links").isNotNull()).alias("n_overlapping"), n(F.col("exact")).alias("n_exact"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"))
+    return every.join(links(recs), "k", "left").groupBy("split", "source").agg(F.count("*").alias("n_records"), n(F.col("n_links").isNotNull()).alias("n_overlapping"), n(F.col("exact")).alias("n_exact"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_report": p2_report}

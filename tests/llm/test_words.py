@@ -113,10 +113,35 @@ def test_split_tree(n, shards):
 
 
 def test_rarest_segments_are_enough_and_disjoint():
-    from corpusloom.llm.overlap import Q, _rarest
+    from corpusloom.llm.overlap import Q, rarest
 
     rng = random.Random(1)
-    ns = np.array([50, 51, 73, 120, 260])
+    ns = np.array([20, 50, 51, 73, 120, 260])
     freq = [np.array([rng.choice([0, 1, 3, 500, 60000]) for _ in range(n - Q + 1)], np.uint16) for n in ns]
-    for n, starts in zip(ns, _rarest(freq, ns)):
-        assert len(starts) >= (n + 4) // 5 + 1 and (np.diff(starts) >= Q).all() and starts[-1] <= n - Q
+    first = np.concatenate([[0], np.cumsum(ns - Q + 1)])[:-1]
+    for n, f, starts in zip(ns, freq, rarest(np.concatenate(freq), first, ns)):
+        assert len(starts) == n // 5 + 1 and (np.diff(starts) >= Q).all() and starts[-1] <= n - Q
+        assert f[starts].sum() <= min(np.sort(f[way::Q])[: n // 5 + 1].sum() for way in range(Q) if len(f[way::Q]) > n // 5)
+
+
+def test_blocks_come_back_as_they_were():
+    from corpusloom.llm.overlap import pack, unpack
+
+    rng = np.random.default_rng(3)
+    ref, ns = np.array([5, 1 << 40, (1 << 40) + 1]), np.array([50, 70000, 60])
+    h, doc, pos = np.sort(rng.integers(0, 1 << 32, 100).astype(np.uint64)), rng.integers(0, 3, 100), rng.integers(0, 70000, 100)
+    got = unpack(pack(h, doc, pos, ref, ns))
+    assert all((a == b).all() for a, b in zip(got, (h, ref[doc], ns[doc], pos)))
+
+
+def test_members_by_bitmap_and_by_join(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.bits import marked, only_members
+
+    rows = spark.range(3000).select(F.col("id").alias("x"), (F.col("id") % 7).alias("y"))
+    wanted = spark.range(0, 3000, 10).select(F.col("id").alias("x"))
+    for most in (28, 4):  # the second is too small, so a join
+        assert {r["x"] for r in only_members(rows, "x", wanted, most).collect()} >= set(range(0, 3000, 10))
+        got = {r["x"]: r["marked"] for r in marked(rows, "x", wanted, most).collect()}
+        assert len(got) == 3000 and all(got[i] for i in range(0, 3000, 10)) and sum(got.values()) < 600
