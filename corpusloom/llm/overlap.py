@@ -10,11 +10,12 @@ training texts. The sketch has a fixed size; however many texts it counts, segme
 stand out, and no result hangs on it.
 
 Nothing that grows with the data is broadcast, and nothing saturates: every place of every training text goes through
-the shuffle, packed. A worker sorts the places of some thousand texts by (segment, length class), and sends each bucket
-one block of sorted hashes, text numbers and positions, about six bytes a place. A bucket holds a bounded number of
-places, whatever the input; a frequent segment is spread over its length classes. Buckets are matched by sorted search,
-lengths and positions are checked there, and only pairs of texts come back. What is left is verified by banded dynamic
-programming over the whole texts.
+the shuffle, packed. A worker sorts the places of some thousand texts by (length class, segment), and sends each bucket
+one block of sorted hashes, text numbers and positions, about five bytes a place. Length classes have buckets of their
+own, as many as their places ask for, so a bucket is bounded and a frequent segment spread. Buckets are matched by sorted
+search. Lengths and positions are checked there, and a bitmap of each text's less common words: each word of one text
+without a partner costs at most one bit, and a pair may have n - L such words. Only pairs of texts come back. What is left
+is verified by banded dynamic programming over the whole texts.
 
 Copies: pairs are between distinct texts (by the fingerprint `wfp` of their words), and of a text that came more than
 COPIES times on a side one row is cut into segments; ids come back at the end. `fp`, the fingerprint without the spaces,
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.keys import key, split_name, stripped, text_records
 from corpusloom.llm.bits import gather, marked, only_members, sketch_get
-from corpusloom.llm.words import Hashes, common_in_order, grams, mixed, words
+from corpusloom.llm.words import Hashes, common_in_order, grams, words
 from corpusloom.session import written
 
 MIN_WORDS = 50
@@ -46,8 +47,10 @@ SKETCH_BITS = 22
 RATIO = (10 / 9) ** 4
 #: Copies of a text on one side that are joined as they are; of more, one row is.
 COPIES = 8
-#: Places a worker sorts at a time, and places a bucket holds at most and at least (on average).
-SORTED, MOST, LEAST = 4_000_000, 8_000_000, 2_000_000
+#: Words with more occurrences than this share of the texts have no bit.
+COMMON = 0.15
+#: Places a worker sorts at a time; places of a bucket (on average), and buckets there are at least.
+SORTED, BUCKET, BUCKETS = 4_000_000, 32_000_000, 24
 #: Pairs of places looked at at a time.
 AT_ONCE = 2_000_000
 _TEXTS = "ref bigint, id string, at timestamp, side string, n int, fp bigint, wfp bigint, ws array<int>"
@@ -131,12 +134,33 @@ def rarest(freq: np.ndarray, first: np.ndarray, ns: np.ndarray) -> list[np.ndarr
     return [np.sort(start[w, order[i, w, : need[i]]]) for i, w in enumerate(way)]
 
 
+def common_words(texts: DataFrame, share: float = COMMON) -> np.ndarray:
+    """Words (hashes) with more occurrences than that share of the texts; at most mean length / share of them."""
+    total = texts.count()
+    counts = texts.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") > share * total)
+    return np.sort(np.array([r["w"] for r in counts.select("w").collect()], np.int32).view(np.uint32))
+
+
+def _bits(part: pa.RecordBatch, common: np.ndarray) -> np.ndarray:
+    """Two 64-bit masks for each text, of its words that aren't common."""
+    col = part.column("ws")
+    w = col.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+    owner = np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))
+    rare = common[np.minimum(np.searchsorted(common, w), len(common) - 1)] != w if len(common) else np.ones(len(w), bool)
+    has = np.zeros((len(col), 128), bool)
+    has[owner[rare], w[rare] >> np.uint32(25)] = True
+    return np.packbits(has, axis=1).view(np.uint64).reshape(-1, 2)
+
+
 def _class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(n) / np.log(RATIO) + 1e-9).astype(np.int64)
 
 
-def _place(gram: np.ndarray, of_class: np.ndarray) -> np.ndarray:
-    return mixed(gram + of_class.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def bucket_starts(places: dict[int, int]) -> np.ndarray:
+    """Of each length class its first bucket (one number more than there are classes), by its places in training texts."""
+    most = min(BUCKET, max(1, sum(places.values()) // BUCKETS))
+    own = [-(-places.get(c, 0) // most) for c in range(max(places, default=0) + 1)]
+    return np.cumsum([0, *own])
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -149,33 +173,35 @@ def _from_planes(data: memoryview, dtype: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size).reshape(size, n).T).view(dtype).reshape(n)
 
 
-def pack(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, ref: np.ndarray, ns: np.ndarray) -> bytes:
-    """A block: sorted 32-bit hashes, the text (an index into ref and ns) and position of each."""
+def pack(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, ref: np.ndarray, ns: np.ndarray, bits: np.ndarray) -> bytes:
+    """A block: sorted 32-bit hashes, the text (an index into ref, ns and bits) and position of each."""
     parts = [np.array([len(hashes), len(ref)], np.int64).tobytes()]
-    parts += [_planes(a) for a in (hashes.astype(np.uint32), doc.astype(np.uint32), pos.astype(np.uint32), np.diff(ref, prepend=0).astype(np.int64), ns.astype(np.uint32))]
+    parts += [_planes(a) for a in (hashes.astype(np.uint32), doc.astype(np.uint32), pos.astype(np.uint32), np.diff(ref, prepend=0).astype(np.int64), ns.astype(np.uint32), bits[:, 0].copy(), bits[:, 1].copy())]
     return zstandard.ZstdCompressor(1).compress(b"".join(parts))
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, ...]:
-    """hashes, ref, ns and pos of each place of a block."""
+    """Of a block hashes, doc and pos by place, ref, ns and bits by text."""
     data = memoryview(zstandard.ZstdDecompressor().decompress(block))
     n, texts = np.frombuffer(data, np.int64, 2)
     at, out = 16, []
-    for dtype, count in ((np.uint32, n), (np.uint32, n), (np.uint32, n), (np.int64, texts), (np.uint32, texts)):
+    for dtype, count in ((np.uint32, n), (np.uint32, n), (np.uint32, n), (np.int64, texts), (np.uint32, texts), (np.uint64, texts), (np.uint64, texts)):
         out.append(_from_planes(data[at:], dtype, count))
         at += np.dtype(dtype).itemsize * count
-    hashes, doc, pos, ref, ns = out
-    return hashes, np.cumsum(ref)[doc], ns[doc].astype(np.int64), pos.astype(np.int64)
+    hashes, doc, pos, ref, ns, b0, b1 = out
+    return hashes, doc.astype(np.int64), pos.astype(np.int32), np.cumsum(ref), ns.astype(np.int32), np.stack([b0, b1], axis=1)
 
 
-def _blocks(is_eval: bool, buckets: int, sketch):
+def _blocks(is_eval: bool, starts: np.ndarray, common, sketch):
     """Blocks of the places of training texts, or of the segments cut from evaluation texts, by bucket."""
+    buckets, classes = int(starts[-1]), len(starts) - 1
 
-    def places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def places(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Class, hash, text and position."""
         h, doc, pos = _flat_grams(batch.column("ws"))
         ns = batch.column("n").to_numpy().astype(np.int64)
         if not is_eval:
-            return _place(h, _class(ns)[doc]), doc, pos
+            return _class(ns)[doc], h, doc, pos
         freq = sketch_get(sketch.value, SKETCH_BITS, h)
         first = np.concatenate([[0], np.cumsum(ns - Q + 1)])[:-1]
         chosen = []
@@ -188,31 +214,38 @@ def _blocks(is_eval: bool, buckets: int, sketch):
         h, doc, pos = h[at], doc[at], pos[at]
         low, high = _class(np.ceil(ns * 0.9))[doc], _class(ns / 0.9)[doc]
         both = low < high
-        return np.concatenate([_place(h, low), _place(h[both], high[both])]), np.concatenate([doc, doc[both]]), np.concatenate([pos, pos[both]])
+        return np.concatenate([low, high[both]]), np.concatenate([h, h[both]]), np.concatenate([doc, doc[both]]), np.concatenate([pos, pos[both]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         texts = size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, doc, pos, ref, ns = (np.concatenate(x) for x in zip(*[(h, doc, pos, r, n) for h, doc, pos, r, n in held], strict=True))
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort((bucket << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)))
-            h, doc, pos = (h & np.uint64(0xFFFFFFFF))[order], doc[order], pos[order]
+            bucket, h, doc, pos, ref, ns, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort((bucket << np.uint64(32)) | h)
+            h, doc, pos = h[order], doc[order], pos[order]
             ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
             for b in range(buckets):
                 own = slice(ends[b - 1] if b else 0, ends[b])
                 if own.start < own.stop:
                     there = np.zeros(len(ref), bool)
                     there[doc[own]] = True
-                    block = pack(h[own], (np.cumsum(there) - 1)[doc[own]], pos[own], ref[there], ns[there])
+                    block = pack(h[own], (np.cumsum(there) - 1)[doc[own]], pos[own], ref[there], ns[there], bits[there])
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([is_eval]), pa.array([block], pa.binary())], ["bucket", "is_eval", "block"])
 
         for batch in batches:
             for begin in range(0, batch.num_rows, 2000):
                 part = batch.slice(begin, 2000)
-                h, doc, pos = places(part)
-                held.append((h, doc + texts, pos, part.column("ref").to_numpy(), part.column("n").to_numpy()))
+                of_class, h, doc, pos = places(part)
+                if is_eval:  # training texts have none of some lengths
+                    there = (of_class >= 0) & (of_class < classes)
+                    of_class, h, doc, pos = of_class[there], h[there], doc[there], pos[there]
+                    there = starts[of_class] < starts[of_class + 1]
+                    of_class, h, doc, pos = of_class[there], h[there], doc[there], pos[there]
+                # the upper half of a hash says which bucket of the class, the lower is what blocks hold
+                first = starts[of_class].astype(np.uint64)
+                bucket = first + (((h >> np.uint64(32)) * (starts[of_class + 1].astype(np.uint64) - first)) >> np.uint64(32))
+                held.append((bucket, h & np.uint64(0xFFFFFFFF), doc + texts, pos, part.column("ref").to_numpy(), part.column("n").to_numpy(), _bits(part, common.value)))
                 texts += part.num_rows
                 size += len(h)
                 if size >= SORTED:
@@ -224,41 +257,48 @@ def _blocks(is_eval: bool, buckets: int, sketch):
     return run
 
 
-def _matched(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's blocks the pairs of texts with a segment in common at places and of lengths that allow an overlap."""
-    ev: list[tuple[np.ndarray, ...]] = []
-    train: list[bytes] = []
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks sorted by bucket, evaluation first: the pairs of texts that share a segment and may overlap by places, lengths and bits."""
+    now, ev, ready = -1, [], False
+    h = doc = pos = ref = n = bits = None
     for batch in batches:
-        for is_eval, block in zip(batch.column("is_eval").to_pylist(), batch.column("block").to_pylist(), strict=True):
+        for bucket, is_eval, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "is_eval", "block")), strict=True):
+            if bucket != now:
+                now, ev, ready = bucket, [], False
             if is_eval:
                 ev.append(unpack(block))
-            else:
-                train.append(block)
-    if not ev or not train:
-        return
-    h, ref, n, pos = (np.concatenate(x) for x in zip(*ev, strict=True))
-    order = np.argsort(h, kind="stable")
-    h, ref, n, pos = h[order], ref[order], n[order], pos[order]
-    del ev
-    for block in train:
-        th, tref, tn, tpos = unpack(block)
-        low = np.searchsorted(h, th)
-        hit = np.flatnonzero(h[np.minimum(low, len(h) - 1)] == th)
-        low = low[hit]
-        count = np.searchsorted(h, th[hit], "right") - low
-        done = np.cumsum(count)
-        i = 0
-        while i < len(hit):
-            j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + AT_ONCE, "right")))
-            c = count[i:j]
-            t = np.repeat(hit[i:j], c)
-            e = np.repeat(low[i:j] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-            longer = np.maximum(n[e], tn[t])
-            apart = max_apart(longer)
-            ok = (np.minimum(n[e], tn[t]) >= longer - apart) & (np.abs(pos[e] - tpos[t]) <= apart)
-            e, t = e[ok], t[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(ref[e]), pa.array(tref[t]), pa.array(n[e], pa.int32()), pa.array(tn[t], pa.int32())], ["ref_e", "ref_t", "n_e", "n_t"])
-            i = j
+                continue
+            if not ev:
+                continue
+            if not ready:
+                before = np.cumsum([0] + [len(x[3]) for x in ev])
+                h, doc, pos, ref, n, bits = (np.concatenate(x) for x in zip(*[(x[0], x[1] + b, *x[2:]) for x, b in zip(ev, before, strict=False)], strict=True))
+                order = np.argsort(h, kind="stable")
+                h, doc, pos, ready = h[order], doc[order], pos[order], True
+            th, tdoc, tpos, tref, tn, tbits = unpack(block)
+            low = np.searchsorted(h, th)
+            hit = np.flatnonzero(h[np.minimum(low, len(h) - 1)] == th)
+            low = low[hit]
+            count = np.searchsorted(h, th[hit], "right") - low
+            done = np.cumsum(count)
+            i = 0
+            while i < len(hit):
+                j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + AT_ONCE, "right")))
+                c = count[i:j]
+                at = np.repeat(low[i:j] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+                moved = pos[at] - np.repeat(tpos[hit[i:j]], c)
+                e, t = doc[at], np.repeat(tdoc[hit[i:j]], c)
+                longer = np.maximum(n[e], tn[t])
+                least = (9 * longer + 9) // 10
+                # words before the segment and words after it are changed by at least the difference of their numbers
+                by_length = n[e] - tn[t]
+                ok = np.flatnonzero((np.minimum(n[e], tn[t]) >= least) & (np.abs(moved) + np.abs(by_length - moved) <= n[e] + tn[t] - 2 * least))
+                e, t, least = e[ok], t[ok], least[ok]
+                a, b = bits[e], tbits[t]
+                near = (np.bitwise_count(a & ~b).sum(axis=1) <= n[e] - least) & (np.bitwise_count(b & ~a).sum(axis=1) <= tn[t] - least)
+                e, t = e[near], t[near]
+                yield pa.RecordBatch.from_arrays([pa.array(ref[e]), pa.array(tref[t]), pa.array(n[e]), pa.array(tn[t])], ["ref_e", "ref_t", "n_e", "n_t"])
+                i = j
 
 
 def one_of_each(texts: DataFrame) -> DataFrame:
@@ -272,18 +312,26 @@ def one_of_each(texts: DataFrame) -> DataFrame:
     return rows.where("not marked").drop("marked").unionByName(once)
 
 
+def _places_by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = batch.column("n").to_numpy().astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(_class(n)), pa.array((n - Q + 1) * batch.column("c").to_numpy())], ["of_class", "places"])
+
+
 def candidate_pairs(texts: DataFrame) -> DataFrame:
     """Pairs (ref_e, ref_t) of rows that share as many segments at allowed places as an overlap leaves."""
     spark = texts.sparkSession
     texts = one_of_each(texts)
     train, ev = texts.where("side = 'train'"), texts.where("side = 'eval'")
     _, counts = gather(train.select("ws"), lambda b: _flat_grams(b.column("ws"))[0], sketch=SKETCH_BITS)
-    places = train.agg(F.sum("n")).first()[0] or 0
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = int(min(max(4 * tasks, places // MOST), max(16, places // LEAST)))
+    # one number for each length class: texts of a million words have the 83rd
+    sizes = train.groupBy("n").agg(F.count("*").alias("c")).mapInArrow(_places_by_class, "of_class bigint, places bigint").groupBy("of_class").agg(F.sum("places").alias("places")).collect()
+    starts = bucket_starts({r["of_class"]: r["places"] for r in sizes})
     schema = "bucket int, is_eval boolean, block binary"
-    blocks = train.select("ref", "n", "ws").mapInArrow(_blocks(False, buckets, None), schema).unionByName(ev.select("ref", "n", "ws").mapInArrow(_blocks(True, buckets, spark.sparkContext.broadcast(counts)), schema))
-    hits = blocks.groupBy("bucket").applyInArrow(_matched, "ref_e bigint, ref_t bigint, n_e int, n_t int")
+    sc = spark.sparkContext
+    common, sketch = sc.broadcast(common_words(texts)), sc.broadcast(counts)
+    blocks = [side.select("ref", "n", "ws").mapInArrow(_blocks(is_eval, starts, common, sketch), schema) for side, is_eval in ((train, False), (ev, True))]
+    hits = blocks[0].unionByName(blocks[1]).repartition("bucket").sortWithinPartitions("bucket", F.desc("is_eval")).mapInArrow(_matched, "ref_e bigint, ref_t bigint, n_e int, n_t int")
     # of n_e // 5 + 1 segments at most as many are changed as there are edits: the others are found, each once
     longer = F.greatest("n_e", "n_t")
     edits = F.col("n_e") + F.col("n_t") - 2 * F.floor((longer * 9 + 9) / 10)

@@ -130,8 +130,9 @@ def test_blocks_come_back_as_they_were():
     rng = np.random.default_rng(3)
     ref, ns = np.array([5, 1 << 40, (1 << 40) + 1]), np.array([50, 70000, 60])
     h, doc, pos = np.sort(rng.integers(0, 1 << 32, 100).astype(np.uint64)), rng.integers(0, 3, 100), rng.integers(0, 70000, 100)
-    got = unpack(pack(h, doc, pos, ref, ns))
-    assert all((a == b).all() for a, b in zip(got, (h, ref[doc], ns[doc], pos)))
+    bits = rng.integers(0, 1 << 63, (3, 2)).astype(np.uint64)
+    got = unpack(pack(h, doc, pos, ref, ns, bits))
+    assert all((a == b).all() for a, b in zip(got, (h, doc, pos, ref, ns, bits)))
 
 
 def test_members_by_bitmap_and_by_join(spark):
