@@ -7,19 +7,20 @@ import unicodedata
 from collections import Counter
 from functools import lru_cache
 
+from corpusloom.llm.languages import Languages, language_of
 from corpusloom.llm.words import INVISIBLE, TAG, common_in_order, plain, words
 
-#: Whole answers that stand for no answer (lower case, words only).
+#: Whole answers that stand for no answer (lower case, words only).
 PLACEHOLDERS = frozenset(
     "na|n a|null|none|nil|nan|undefined|void|empty|blank|tbd|todo|placeholder|no output|no response|no answer|no text|no content|no result|no rewrite|empty response|empty output|empty answer|"
     "response|output|answer|rewritten text|rewritten version|rewrite|paraphrase|paraphrased text|text|abstract|rewritten abstract|essay|rewritten essay|result|your text here|insert text here|lorem ipsum|"
     "keine antwort|kein text|leer|pas de réponse|sin respuesta|inget svar|tomt svar|error|none provided|not available|not applicable|no data|missing|unknown".split("|")
 )
-#: Sentences that only announce an answer.
+#: Sentences that only announce an answer.
 ANNOUNCED = re.compile(
     r"^(?:(?:sure|certainly|of course|absolutely|okay|ok|yes|here you go|gladly)\b[\s,.!:-]*)*(?:here(?:'s| is| are)\b[^.!?:\n]{0,80}|(?:the |my |your )?(?:rewritten|paraphrased|revised|reworded)\b[^.!?:\n]{0,60})[\s.:!*_#-]*$", re.I
 )
-#: How an answer declines. DECLINES alone, REFUSES together with a word about the task.
+#: How an answer declines. DECLINES alone, REFUSES together with a word about the task.
 DECLINES = re.compile(
     r"\bcontent filter\b|\brequest (?:was |is |has been )?(?:declined|denied|refused|blocked)|\b(?:must|have to|need to|will|shall|do|i'll|ll) (?:respectfully |politely )?(?:decline|refuse|refrain|abstain)\b|\bdeclin(?:e|ing) (?:to|the|this|your|that)\b|\brefuse to\b"
     r"|\b(?:no|not a) (?:paraphrase|rewrite|rewritten version|version|answer|text|response) (?:will|can|could) be (?:given|provided|produced|written|made)|\boutside (?:of )?what i\b|\bbeyond what i\b|\bnot something (?:that )?i(?:'m| am)? (?:can|could|will|may|able|allowed|do|produce)"
@@ -32,36 +33,67 @@ REFUSES = re.compile(
     r"\b(?:help|assist|rewrit\w*|reword\w*|paraphras\w*|rephras\w*|produc\w*|answer\w*|continue|fulfil\w*|comply|request|version|this one|do (?:that|this|so)|take part|engage|feel comfortable|provide|process|respond|reproduce|complete|work (?:on|with)|carry|handle|touch|edit|generate|write|offer|support|discuss|able)\b"
     r"|\b(?:unable to|not able to|not allowed to|not permitted to) (?:help|assist|provide|rewrite|reword|paraphrase|rephrase|answer|complete|fulfil\w*|comply|continue|produce|process|respond)\b", re.I
 )
-#: The same in the other languages of the corpus, for answers of few words.
+#: The same in the other languages of the corpus, for answers of few words.
 REFUSES_ABROAD = re.compile(
     r"\b(?:ich kann|kann ich|darf ich|ich darf|ich möchte)\b[^.!?]{0,60}\bnicht\b|\bnicht (?:helfen|umschreiben|umformulieren|bearbeiten|beantworten)\b|\bje ne (?:peux|puis|suis|veux|souhaite)\b[^.!?]{0,40}\b(?:pas|refus\w*)?|\bno (?:puedo|podemos|me es posible|estoy autorizad\w)\b|\bjag (?:kan|får|vill)\b[^.!?]{0,30}\binte\b|\b(?:hjälpa|skriva om)\b[^.!?]{0,30}\binte\b",
     re.I,
 )
+#: Who declines, words that decline, and words for the task; a short answer with all three in a sentence declines.
+SPEAKER = re.compile(r"\b(?:i|we|my|our|me|us|this (?:assistant|system|model))\b", re.I)
+SAYS_NO = re.compile(r"\b(?:no|not|never|cannot|unable|unwilling|declin\w*|refus\w*|refrain\w*|abstain\w*|prevent\w*|prohibit\w*|forbid\w*|restrict\w*|disallow\w*|against|violat\w*|impossible|inappropriate|withhold\w*|avoid\w*|stops?|bars?|pass on)\b|n't\b", re.I)
+TASK = re.compile(r"\b(?:rewrit\w*|reword\w*|rephras\w*|paraphras\w*|request\w*|assist\w*|fulfil\w*|comply\w*|this (?:essay|passage|text|abstract|question|prompt|task|content|topic|instruction))\b", re.I)
 SHORT, SHORT_ABROAD = 70, 40
+_HINT = re.compile(r"n't\b|\b(?:not|cannot|unable|declin|refus|prefer|afraid|comfortable|policy|policies|guidelines|filter)", re.I)
+_SENTENCE = re.compile(r"[.!?\n]+")
 _APOSTROPHES = str.maketrans("’‘`´ʼ", "'''''")
 _WORD = re.compile(r"\w+")
 
 
 def is_empty(text: str | None) -> bool:
     """No answer at all: null, blank, invisible, or nothing but a placeholder, mark-up or the announcement of an answer."""
-    if not text or len(text) > 300:
-        return not text or not (text.strip() and _WORD.search(text[:3000]) or _WORD.search(plain(text)))
-    core = plain(text)
+    if not text:
+        return True
+    if len(text) > 300 and "<" not in text and "&" not in text and text.isascii() and len(text.split(None, 60)) > 60:
+        return not _WORD.search(text)
+    core = plain(text).strip()
+    if len(core) > 300:
+        return not _WORD.search(core)
     ws = _WORD.findall(core.lower().replace("_", " "))
     if not ws or " ".join(ws) in PLACEHOLDERS:
         return True
-    return len(ws) <= 20 and ("\n" not in core.strip()) and bool(ANNOUNCED.match(core.translate(_APOSTROPHES).strip(" \t\n\r*_#>`\"")))
+    return len(ws) <= 20 and ("\n" not in core) and bool(ANNOUNCED.match(core.translate(_APOSTROPHES).strip(" \t\n\r*_#>`\"")))
+
 
+def is_refusal(text: str | None, original: str | None = None, prompt: str | None = None) -> bool:
+    """The answer declines the task and does not do it.
 
-def is_refusal(text: str | None) -> bool:
-    """The answer declines the task and does not do it: few words, among them a way to decline."""
-    if not text or len(text) > 1200 or text.count(" ") > SHORT + 30:
+    Few words, among them a way to decline; or, beside an original or a prompt, few words of which a sentence names who
+    declines, that they do, and the task; or an answer of any length that begins by declining and has hardly a word of
+    its original.
+    """
+    if not text:
         return False
+    if text.count(" ") > SHORT + 30:
+        head = text[:400].translate(_APOSTROPHES)
+        if not original or not _HINT.search(head):
+            return False
+        first = " ".join(_SENTENCE.split(INVISIBLE.sub("", TAG.sub(" ", head)).strip())[:2])
+        return bool(REFUSES.search(first) or DECLINES.search(first)) and _shared(text, original) < 0.15
     core = INVISIBLE.sub("", unicodedata.normalize("NFC", TAG.sub(" ", text))).translate(_APOSTROPHES)
     n = len(core.split())
     if n > SHORT:
+        return bool(original) and bool(_HINT.search(core)) and bool(REFUSES.search(core[:300]) or DECLINES.search(core[:300])) and _shared(text, original) < 0.15
+    if DECLINES.search(core) or REFUSES.search(core) or (n <= SHORT_ABROAD and REFUSES_ABROAD.search(core)):
+        return True
+    if not (original or prompt) or not any(SAYS_NO.search(s) and SPEAKER.search(s) and TASK.search(s) for s in _SENTENCE.split(core)):
         return False
-    return bool(DECLINES.search(core) or REFUSES.search(core) or (n <= SHORT_ABROAD and REFUSES_ABROAD.search(core)))
+    return _shared(text, original or prompt) < 0.35
+
+
+def _shared(answer: str, given: str) -> float:
+    """Share of the answer's longer words that stand in what was given."""
+    own = {w for w in words(answer) if len(w) >= 5}
+    return len(own.intersection(_words_of(given))) / max(1, len(own))
 
 
 def gives_back(answer: list[bytes], given: list[bytes], also: list[bytes] = ()) -> bool:
@@ -101,92 +133,21 @@ def _copies(answer: list[bytes], original: str | None, prompt: str | None) -> bo
     return bool(original) and gives_back(answer, _words_of(original), p)
 
 
-#: Frequent small words by language.
-SMALL_WORDS = {
-    "en": "the of and to in is that it was for on are as with they at be this have from or by not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than been its who now people my made over did down only way find use may after where most through any why does should because nobody never",
-    "de": "der die das und ist nicht ein eine einer einen einem den dem des zu mit auf für von sich auch es an werden aus er hat dass sie nach wird bei noch wie über so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn können doch ihre seine ich wir kein keine niemand am im als schon sehr warum etwa ohne gegen vom trotzdem daraus",
-    "fr": "le la les un une des du de et est que qui dans pour pas sur au aux avec ce cette ces il elle ils nous vous ne se par plus mais ou où son sa ses leur leurs être fait comme tout sont ont été aussi même sans si très peu on deux bien encore dont cela entre après avant était avons personne malgré beaucoup depuis chez",
-    "es": "el la los las un una unos de del y es que en por para con no se su sus lo al como más pero le ya o este esta sí porque entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno ni contra otros ese eso había ante ellos son fue ser tiene han está cada si nadie casi hoy antes mucho hacia según",
-    "sv": "och att det är som en ett på av för med den till inte om har de var jag vi han hon sig från vid så men när kan ska man eller ut sin över efter upp också bara hur mot nu än där mycket alla under hade sedan några ingen idag ville blev varit denna detta dessa utan finns får måste borde mer deras våra mellan varför ändå",
-    "it": "il lo gli una di che è per non sono con si del della dei delle nel nella anche come più ma questo questa ha hanno essere era molto quando dove perché ogni tra fra sul sulla loro nessuno senza",
-    "pt": "o os as um uma do da dos das em no na nos nas que é não com para por mais como mas foi ao ele ela seu sua são tem já também só pelo pela até isso muito quando sem ninguém entre depois",
-    "nl": "het een van en niet dat zijn voor met op aan er ook maar om bij nog uit naar dan wordt worden hebben heeft deze dit wat als door over zich geen werd tegen onder omdat niemand veel meer zonder",
-}
-_LANGS_OF: dict[str, tuple[str, ...]] = {}
-for _lang, _list in SMALL_WORDS.items():
-    for _w in _list.split():
-        _LANGS_OF[_w] = (*_LANGS_OF.get(_w, ()), _lang)
-#: The same in the normal form of words(); where two languages' words fall together they count for both.
-_FOLDED: dict[bytes, tuple[str, ...]] = {}
-for _w, _langs in _LANGS_OF.items():
-    for _f in words(_w):
-        _FOLDED[_f] = tuple(dict.fromkeys((*_FOLDED.get(_f, ()), *_langs)))
-_SENTENCE = re.compile(r"[.!?\n]+")
-
-
-def _spread(tally: Counter) -> Counter:
-    got: Counter = Counter()
-    for langs, n in tally.items():
-        for x in langs or ():
-            got[x] += n
-    return got
-
-
-def _hits(ws: list[str]) -> Counter:
-    return _spread(Counter(map(_LANGS_OF.get, ws)))
-
-
-def _folded_hits(ws: list[bytes]) -> Counter:
-    return _spread(Counter(map(_FOLDED.get, ws)))
-
-
-def _leader(hits: Counter) -> str | None:
-    got = hits.most_common(2)
-    return got[0][0] if got and (len(got) == 1 or got[0][1] > got[1][1]) else None
-
-
-@lru_cache(maxsize=2048)
-def language(text: str | None) -> str | None:
-    """The language most of whose small words stand in the text; None where none leads."""
-    return _leader(_hits(_WORD.findall((text or "").lower())))
-
-
-def language_words(text: str) -> Counter:
-    """Words by the language of their sentence; a sentence without a lead takes the language of the one before."""
-    out: Counter = Counter()
-    last, early = None, 0
-    for s in _SENTENCE.split(text.lower()):
-        ws = _WORD.findall(s)
-        if not ws:
-            continue
-        last = _leader(_hits(ws)) or last
-        if last is None:
-            early += len(ws)
-        else:
-            out[last] += len(ws) + early
-            early = 0
-    return out
-
-
-def in_other_language(text: str, beside: str | None, answer: list[bytes] | None = None) -> bool:
-    """More than half of the words are in sentences of another language than `beside` is in."""
-    own = language(beside)
-    if own is None:
+def in_other_language(text: str, beside: str | None, languages: Languages | None) -> bool:
+    """More than half of the words are in sentences of another language than `beside` is in; False where that isn't known."""
+    if languages is None or not beside:
         return False
-    quick = _folded_hits(words(text) if answer is None else answer)
-    if not quick or max((n for x, n in quick.items() if x != own), default=0) < 0.6 * quick[own]:
-        return False  # a text half in another language has about as many of that language's small words
-    by = language_words(text)
-    return 2 * by[own] < sum(by.values())
+    own = language_of(languages, beside)
+    return own >= 0 and languages.in_other(text, own)
 
 
-def defect(text: str | None, original: str | None, prompt: str | None, beside: str | None) -> str | None:
+def defect(text: str | None, original: str | None, prompt: str | None, beside: str | None, languages: Languages | None = None) -> str | None:
     """empty, refusal, copy, other_language or None; `beside` is what the answer should share its language with."""
     if is_empty(text):
         return "empty"
     answer = words(text)
     if _copies(answer, original, prompt):
         return "copy"
-    if is_refusal(text):
+    if is_refusal(text, original, prompt):
         return "refusal"
-    return "other_language" if in_other_language(text, beside, answer) else None
+    return "other_language" if in_other_language(text, beside, languages) else None

@@ -11,8 +11,8 @@ last words are held against the whole corpus:
 - neighbours: the candidate's text, sorted among the texts that begin alike, stands at the start of a longer one;
 - length: how many candidates of the table have just this length, against lengths nearby (a spike is a field limit).
 
-Words, contexts and nodes are counted over all texts. Workers look up candidates' hashes in a bitmap of fixed size, so
-only counts that some candidate may need are shuffled.
+Words, contexts and nodes are counted over all texts. Workers look up candidates' hashes in a bitmap sized by their
+number, so only counts that some candidate may need are shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +33,15 @@ from pyspark.sql import Window as W
 
 from corpusloom.keys import key, stripped, text_records
 from corpusloom.llm.answers import is_copy, is_empty, is_refusal
-from corpusloom.llm.bits import bitmap_has, bits_for, gather
+from corpusloom.llm.bits import LEAST_PER, bitmap_has, bits_for, bits_of, gather
 from corpusloom.llm.words import INVISIBLE, LOOK_ALIKES, TAG, mixed
 from corpusloom.session import table, written
 
 LONGEST = 8
 #: Words between a pair and the end; such counts carry FRAME + gap in place of the number of tokens.
 GAPS, FRAME = range(1, 9), 100
-#: 8 MB at most, whatever the input.
-BITMAP_BITS = 26
+#: A bitmap has 64 MB at most, whatever the input; more candidates are counted in rounds.
+BITMAP_BITS = 29
 #: Characters by which texts that begin alike are put together.
 HEAD = 120
 TOKEN = re.compile(r"\w+|[.!?…]+|\n+|[,;:]")
@@ -346,18 +347,20 @@ def _common(a: str, b: str) -> int:
 
 
 def _outgrown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of lines by head, sorted from the end: the cores at the start of a text that is more than 30 characters longer.
+    """Of lines sorted from the end: the cores at the start of a text that is more than 30 characters longer (kind found).
 
     A line still to come can only be a beginning of the last one read, so of the texts read the longest is kept for each
-    length of their common beginning with that line; a hot head needs no more than this.
+    length of their common beginning with that line; a hot beginning needs no more than this. Where the sort goes on in
+    the partition before, a core is open if it begins this partition's first line: only then can a text there start with
+    it. For those, the beginnings kept at the end stand for the partition's texts (kind text, with the longest's size).
     """
-    head, last = None, ""
+    top = last = None
     longest: list[tuple[int, int]] = []  # (common beginning with last, length of the longest such text), rising in the first
     for batch in batches:
-        heads, cores = [], []
-        for h, line, is_text in zip(*(batch.column(c).to_pylist() for c in ("head", "line", "is_text")), strict=True):
-            if h != head:
-                head, longest = h, []
+        out: list[tuple[str, str, int]] = []
+        for line, size, is_text in zip(*(batch.column(c).to_pylist() for c in ("line", "size", "is_text")), strict=True):
+            if top is None:
+                top = last = line
             n, common, most = len(line), _common(last, line), 0
             while longest and longest[-1][0] >= common:
                 most = max(most, longest.pop()[1])
@@ -367,31 +370,70 @@ def _outgrown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if is_text:
                 if most:
                     longest.pop()
-                longest.append((n, max(n, most)))
+                longest.append((n, max(size, most)))
             elif most > n + 30:
-                heads.append(h)
-                cores.append(line)
+                out.append(("found", line, n))
+            elif top.startswith(line):
+                out.append(("open", line, n))
             last = line
-        yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.array(cores, pa.string())], ["head", "core"])
+        yield _kinds(out)
+    if last is not None:
+        most, out = 0, []
+        for n, size in reversed(longest):  # a shorter beginning with no longer text says nothing more
+            if size > most:
+                out.append(("text", last[:n], size))
+                most = size
+        yield _kinds(out)
+
+
+def _kinds(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))], ["kind", "line", "size"])
 
 
 def _longer_neighbours(cand: DataFrame, recs: DataFrame) -> DataFrame:
-    """(tbl, id) of candidates whose text is the beginning of another text, seen by sorting texts that begin alike."""
-    heads, _ = gather(cand.select("head"), lambda b: mixed(b.column("head").to_numpy().view(np.uint64)), bitmap=BITMAP_BITS - 4)
-    cells = cand.sparkSession.sparkContext.broadcast(heads)
+    """core of candidates whose text is the beginning of another text, seen by sorting cores among texts that begin alike.
+
+    The sort is by ranges of lines, so texts that share an opening are spread over tasks however many they are.
+    """
+    asked = cand.where(F.length("core") >= HEAD).select("head", F.col("core").alias("line")).distinct()
+    heads = asked.select("head").distinct()
+    bits = bits_of(heads.count())
+    found = gather(heads, lambda b: mixed(b.column("head").to_numpy().view(np.uint64)), bitmap=bits)[0] if bits else None
+    cells = cand.sparkSession.sparkContext.broadcast(found)
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t for t in batch.column("text").to_pylist() if t]
-            hs = np.array([_head(t) for t in texts], np.int64)
-            has = np.flatnonzero(bitmap_has(cells.value, BITMAP_BITS - 4, mixed(hs.view(np.uint64)))) if len(texts) else []
-            yield pa.RecordBatch.from_arrays([pa.array(hs[has] if len(texts) else [], pa.int64()), pa.array([texts[i] for i in has], pa.string())], ["head", "line"])
+            if texts and cells.value is not None:  # with too many heads for a bitmap all texts are sorted
+                hs = np.array([_head(t) for t in texts], np.int64)
+                texts = [texts[i] for i in np.flatnonzero(bitmap_has(cells.value, bits, mixed(hs.view(np.uint64))))]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["line"])
+
+    texts = recs.select("text").mapInArrow(alike, "line string").distinct()
+    size = F.length("line").alias("size")
+    both = written(texts.select("line", size, F.lit(1).alias("is_text")).unionByName(asked.select("line", size, F.lit(0).alias("is_text"))), "lines")
+    schema = "kind string, line string, size int"
+    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = written(both.repartitionByRange(tasks, F.desc("line")).sortWithinPartitions(F.desc("line")).mapInArrow(_outgrown, schema), "neighbours")
+    # what lies across the ends of partitions: a few lines of each
+    ends = seen.where("kind <> 'found'").select("line", "size", F.when(F.col("kind") == "text", 1).otherwise(0).alias("is_text")).distinct()
+    across = ends.repartition(1).sortWithinPartitions(F.desc("line"), F.desc("is_text")).mapInArrow(_outgrown, schema)
+    return seen.unionByName(across).where("kind = 'found'").select(F.col("line").alias("core")).distinct()
+
+
+def _evidence(cand: DataFrame, recs: DataFrame, bits: int) -> DataFrame:
+    """tbl, id, at, seen (counts of the candidate's contexts and frames) and below (tokens below its node of the trie)."""
 
-    texts = recs.select("text").mapInArrow(alike, "head bigint, line string").distinct()
-    asked = cand.where(F.length("core") >= HEAD).select("head", F.col("core").alias("line")).distinct()
-    both = texts.select("head", "line", F.lit(1).alias("is_text")).unionByName(asked.select("head", "line", F.lit(0).alias("is_text")))
-    # a head's lines from the end of the sort: the texts that start with a core come before it, however many they are
-    return both.repartition("head").sortWithinPartitions("head", F.desc("line")).mapInArrow(_outgrown, "head bigint, core string").distinct()
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([batch.column("hs").flatten().to_numpy(zero_copy_only=False).astype(np.int64), batch.column("node").to_numpy()]).view(np.uint64)
+
+    cells, _ = gather(cand.select("hs", "node"), hashes, bitmap=bits)
+    counts = recs.select("text").mapInArrow(_count(cand.sparkSession.sparkContext.broadcast(cells), bits), "h bigint, e bigint, m bigint, o bigint").groupBy("h").agg(*[F.sum(c).alias(c) for c in "emo"])
+    # positions in hs: LONGEST contexts, then for each gap its frame and the frame's pair, which only serves to look up
+    place = F.when(F.col("p") < LONGEST, F.col("p") + 1).when((F.col("p") - LONGEST) % 2 == 0, FRAME + 1 + ((F.col("p") - LONGEST) / 2).cast("int"))
+    asked = cand.select("tbl", "id", "at", F.posexplode("hs").alias("p", "h")).select("tbl", "id", "at", place.alias("j"), F.col("h").bitwiseAND(F.lit(-4).cast("bigint")).alias("h")).where("h <> 0 and j is not null").unionByName(cand.select("tbl", "id", "at", F.lit(-1).alias("j"), F.col("node").bitwiseAND(F.lit(-4).cast("bigint")).alias("h")))
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return asked.join(counts, "h", "left").groupBy("tbl", "id", "at").agg(F.collect_list(F.when(F.col("j") >= 0, F.struct("j", n("e"), n("m"), n("o")))).alias("seen"), F.coalesce(F.max(F.when(F.col("j") < 0, F.col("m"))), F.lit(0)).alias("below"))
 
 
 def truncated(recs: DataFrame, originals: DataFrame) -> DataFrame:
@@ -402,27 +444,19 @@ def truncated(recs: DataFrame, originals: DataFrame) -> DataFrame:
     came more than once counts as it came first. Texts of any length are read whole; an empty table gives no rows.
     """
     cand = written(candidates(recs), "candidates")
-    sc = cand.sparkSession.sparkContext
-
-    def hashes(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([batch.column("hs").flatten().to_numpy(zero_copy_only=False).astype(np.int64), batch.column("node").to_numpy()]).view(np.uint64)
-
-    bits = bits_for(cand.count() * (LONGEST + 2 * len(GAPS) + 1), BITMAP_BITS)
-    cells, _ = gather(cand.select("hs", "node"), hashes, bitmap=bits)
-    counts = recs.select("text").mapInArrow(_count(sc.broadcast(cells), bits), "h bigint, e bigint, m bigint, o bigint").groupBy("h").agg(*[F.sum(c).alias(c) for c in "emo"])
-    # positions in hs: LONGEST contexts, then for each gap its frame and the frame's pair, which only serves to look up
-    place = F.when(F.col("p") < LONGEST, F.col("p") + 1).when((F.col("p") - LONGEST) % 2 == 0, FRAME + 1 + ((F.col("p") - LONGEST) / 2).cast("int"))
-    asked = cand.select("tbl", "id", "at", F.posexplode("hs").alias("p", "h")).select("tbl", "id", "at", place.alias("j"), F.col("h").bitwiseAND(F.lit(-4).cast("bigint")).alias("h")).where("h <> 0 and j is not null").unionByName(cand.select("tbl", "id", "at", F.lit(-1).alias("j"), F.col("node").bitwiseAND(F.lit(-4).cast("bigint")).alias("h")))
-    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    seen = asked.join(counts, "h", "left").groupBy("tbl", "id", "at").agg(F.collect_list(F.when(F.col("j") >= 0, F.struct("j", n("e"), n("m"), n("o")))).alias("seen"), F.coalesce(F.max(F.when(F.col("j") < 0, F.col("m"))), F.lit(0)).alias("below"))
+    # as many rounds as bitmaps of bounded size ask for; each counts what its candidates may need
+    asked = cand.select(F.explode(F.concat("hs", F.array("node"))).alias("h")).agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    rounds = max(1, -(-int(1.1 * asked) * LEAST_PER >> BITMAP_BITS))
+    part = F.pmod(F.xxhash64("id"), F.lit(rounds))
+    seen = reduce(DataFrame.unionByName, [_evidence(cand.where(part == i) if rounds > 1 else cand, recs, bits_for(int(1.1 * asked / rounds), BITMAP_BITS)) for i in range(rounds)])
     # a spike: the candidates of this length in the table against the mean of the 20 lengths on either side
     by_length = cand.groupBy("tbl", "length").agg(F.count("*").alias("c"))
     around = W.partitionBy("tbl").orderBy("length").rangeBetween(-20, 20)
     spikes = by_length.select("tbl", "length", ((F.col("c") >= 4) & (F.col("c") > 3 * (F.sum("c").over(around) - F.col("c")) / 20)).alias("spike")).where("spike")
-    longer = _longer_neighbours(cand, recs).withColumn("longer", F.lit(True))
+    longer = _longer_neighbours(cand, recs).withColumn("longer", F.lit(True))  # cores are distinct
     src = cand.where("text is not null and src is not null").select("src").distinct()
     orig = originals.join(src, originals["k"] == src["src"], "left_semi").groupBy("k").agg(F.min(F.struct("at", "text"))["text"].alias("original"))
-    whole = cand.drop("hs", "node").join(seen, ["tbl", "id", "at"]).join(spikes, ["tbl", "length"], "left").join(longer, ["head", "core"], "left").join(orig, F.when(F.col("text").isNotNull(), F.col("src")) == orig["k"], "left")
+    whole = cand.drop("hs", "node").join(seen, ["tbl", "id", "at"]).join(spikes, ["tbl", "length"], "left").join(longer, "core", "left").join(orig, F.when(F.col("text").isNotNull(), F.col("src")) == orig["k"], "left")
     whole = whole.withColumns({"spike": F.coalesce("spike", F.lit(False)), "longer": F.coalesce("longer", F.lit(False))})
     cols = ["tbl", "id", "at", "source", "model", "length", "marked", "word", "hard", "seen", "below", "spike", "longer", "text", "prompt", "original"]
     found = whole.select(cols).mapInArrow(_judged, "tbl string, id string, at timestamp, source string, model string, length int, marked boolean")

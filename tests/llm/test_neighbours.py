@@ -1,5 +1,6 @@
 """Cut texts at the start of longer ones, however many versions stand between them in the sort."""
 
+import bisect
 import random
 
 from corpusloom.llm import cut
@@ -11,6 +12,28 @@ def longer(spark, cores, texts):
     return {r["core"] for r in cut._longer_neighbours(cand, recs).collect()}
 
 
+def test_one_opening_shared_by_all(spark):
+    rng = random.Random(9)
+    opening = "This letter is sent to every reader of the paper, who is asked to pass it on to all those who may not have had it yet. " * 2
+    texts = [opening + "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 80))) for _ in range(100_000)]
+    cores = [t[: rng.randrange(len(opening), len(t) + 1)] for t in texts[:300]] + [opening[:200], opening, opening[:130] + "z"]
+    want = brute_sorted(cores, texts)
+    assert longer(spark, cores, texts) == want and len(want) > 50
+
+
+def brute_sorted(cores, texts):
+    """The same by a binary search in the sorted texts."""
+    texts, out = sorted(texts), set()
+    for c in set(cores):
+        at = bisect.bisect_left(texts, c)
+        while at < len(texts) and texts[at].startswith(c):
+            if len(texts[at]) > len(c) + 30:
+                out.add(c)
+                break
+            at += 1
+    return out
+
+
 def brute(cores, texts):
     return {c for c in cores if len(c) >= cut.HEAD and any(t.startswith(c) and len(t) > len(c) + 30 for t in texts)}
 

@@ -92,6 +92,7 @@ def test_pairs(spark, tables):
             {"id": "e", "text": "", "source_text_id": "h_1"},
             {"id": None, "text": ""},
         ],
+        documents=[{"doc_id": i, "lang": x, "text": t * 3} for i, (x, t) in enumerate([("en", human), ("SV", swedish)] * 30)],
         ai_texts=[{"id": "g", "text": "", "prompt": None}, {"id": "h", "text": "Why do they care?", "prompt": "Why do they care?"}, {"id": "i", "text": "Mostly because of the cost of it.", "prompt": "Why do they care?"}],
     )
     assert {tuple(r) for r in pairs.p1_found(spark, d).collect()} == {("a", "empty"), ("b", "refusal"), ("c", "copy"), ("d", "other_language"), ("h", "copy")}

@@ -1,14 +1,18 @@
+import os
 import random
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm import answers, bits, cut
+from corpusloom.llm import answers, bits, cut, languages
 from corpusloom.llm.mixture import quotas, split_tree
 from corpusloom.llm.words import common_in_order, grams, words
 
 
+DATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -72,12 +76,60 @@ def test_copies():
     assert not answers.is_copy("", original, q) and not answers.is_copy("x", None, None)
 
 
-def test_languages():
-    en = "The people of the town have no interest in the plan, and it is not fair that they must pay for it."
-    de = "Die Leute in der Stadt haben kein Interesse an dem Plan, und es ist nicht richtig, dass sie dafür zahlen."
-    assert answers.in_other_language(de, en) and not answers.in_other_language(en, en)
-    assert answers.in_other_language(f"{en} {de} {de}", en) and not answers.in_other_language(f"{en} {en} {de}", en)
-    assert not answers.in_other_language(de, None) and not answers.in_other_language("42", en)
+ABROAD = {
+    "fi": "Kaupungin asukkaat eivät ole kiinnostuneita suunnitelmasta, eikä ole oikein, että heidän täytyy maksaa siitä. Kukaan ei ole koskaan kysynyt heiltä mitään.",
+    "pl": "Mieszkańcy miasta nie są zainteresowani tym planem i nie jest sprawiedliwe, że muszą za niego płacić. Nikt nigdy ich o nic nie zapytał.",
+    "ru": "Жители города не заинтересованы в этом плане, и несправедливо, что они должны за него платить. Никто никогда их ни о чём не спрашивал.",
+    "zh": "城里的人对这个计划没有兴趣，让他们为此付钱是不公平的。从来没有人问过他们任何事情。这就是为什么很多人感到不满。",
+    "tr": "Kasaba halkı bu planla ilgilenmiyor ve bunun için para ödemek zorunda kalmaları adil değil. Şimdiye kadar hiç kimse onlara bir şey sormadı.",
+    "ja": "町の人々はその計画に関心がなく、そのためにお金を払わなければならないのは不公平です。これまで誰も彼らに何も尋ねませんでした。",
+    "nl": "De mensen in de stad hebben geen belangstelling voor het plan, en het is niet eerlijk dat zij ervoor moeten betalen. Niemand heeft hun ooit iets gevraagd.",
+    "da": "Folk i byen har ingen interesse i planen, og det er ikke rimeligt, at de skal betale for den. Ingen har nogensinde spurgt dem om noget.",
+    "pt": "As pessoas da cidade não têm interesse no plano, e não é justo que tenham de pagar por ele. Nunca ninguém lhes perguntou nada.",
+    "it": "Gli abitanti della città non hanno alcun interesse per il progetto e non è giusto che debbano pagarlo. Nessuno ha mai chiesto loro niente.",
+    "ro": "Oamenii din oraș nu au niciun interes pentru acest plan și nu este corect să plătească pentru el. Nimeni nu i-a întrebat vreodată nimic.",
+    "cs": "Lidé ve městě nemají o ten plán zájem a není spravedlivé, že za něj musí platit. Nikdo se jich nikdy na nic neptal.",
+    "hu": "A város lakóit nem érdekli a terv, és nem igazságos, hogy fizetniük kell érte. Soha senki nem kérdezett tőlük semmit.",
+    "el": "Οι κάτοικοι της πόλης δεν ενδιαφέρονται για το σχέδιο και δεν είναι δίκαιο να πληρώνουν γι' αυτό. Κανείς δεν τους ρώτησε ποτέ τίποτα.",
+    "ar": "لا يهتم سكان المدينة بهذه الخطة وليس من العدل أن يدفعوا ثمنها. لم يسألهم أحد عن أي شيء من قبل.",
+    "hi": "शहर के लोगों को इस योजना में कोई रुचि नहीं है और यह उचित नहीं है कि उन्हें इसके लिए भुगतान करना पड़े। किसी ने उनसे कभी कुछ नहीं पूछा।",
+    "ko": "도시 사람들은 그 계획에 관심이 없으며 그들이 비용을 내야 하는 것은 공평하지 않다. 아무도 그들에게 무엇을 물어본 적이 없다.",
+    "vi": "Người dân trong thành phố không quan tâm đến kế hoạch này và thật không công bằng khi họ phải trả tiền cho nó. Chưa từng có ai hỏi họ điều gì.",
+    "id": "Warga kota tidak tertarik pada rencana itu dan tidak adil bahwa mereka harus membayarnya. Tidak pernah ada orang yang bertanya kepada mereka.",
+    "sw": "Watu wa mji hawapendezwi na mpango huo na si haki kwamba wanapaswa kuulipia. Hakuna mtu aliyewahi kuwauliza chochote.",
+}
+EN = "The people of the town have no interest in the plan, and it is not fair that they must pay for it. Nobody has ever asked them about anything."
+
+
+def test_languages(spark):
+    """Fitted on documents in five languages: others are told apart unseen, in any script, and English ones of strange content aren't."""
+    model = languages.fitted(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"))
+    assert {"en", "de", "fr", "es", "sv"} <= set(model.names) and model.names[model.of(EN)] == "en"
+    found = [x for x, t in ABROAD.items() if answers.in_other_language(t, EN, model)]
+    assert len(ABROAD) == 20 and len(found) >= 0.9 * len(ABROAD), set(ABROAD) - set(found)
+    de = "Die Leute in der Stadt haben kein Interesse an dem Plan, und es ist nicht richtig, dass sie dafür zahlen. Niemand hat sie je gefragt."
+    for t in (EN, "Quarks and gluons interact by the strong force. Hydrogen burns to helium in the core of a star.", "Yes, roughly 80 percent of it.", f"{EN} {EN} {de}"):
+        assert not answers.in_other_language(t, EN, model), t
+    assert answers.in_other_language(de, EN, model) and answers.in_other_language(EN, de, model) and answers.in_other_language(f"{EN} {de} {de}", EN, model)
+    assert not answers.in_other_language(de, None, model) and not answers.in_other_language("42", EN, model) and not answers.in_other_language(de, EN, None)
+    assert languages.fitted(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").limit(0)) is None
+
+
+def test_refusals_in_other_words():
+    """Phrases that no pattern was written after."""
+    original = "My grandmother always told us about the school library and she laughed at the reading test because nobody ever used it on a Sunday morning in spring. " * 3
+    for t in ("I must respectfully say no to rewriting this essay.", "My guidelines prevent me from paraphrasing this passage.", "It would be inappropriate for me to reword this text.", "We are unwilling to fulfil this request.", "Our rules forbid rewriting this content.", "This assistant stops short of rephrasing this abstract.", "I shall not be rewording this passage."):
+        assert answers.is_refusal(t, original, "Rewrite the text."), t
+    long = "I cannot rewrite this text. " + "Material of such a kind falls under limits that were set for good reasons, and those limits hold for each request alike, whoever sends it. " * 9
+    assert len(long) > 1200 and answers.is_refusal(long, original, None)
+    kept = "I cannot forget it. My grandmother often spoke of the school library, and nobody used it on Sunday mornings in spring, so she laughed at the reading test. "
+    assert not answers.is_refusal(kept * 4, original, None) and not answers.is_refusal("I did not enjoy the reading test in the school library.", original, None)
+
+
+def test_empty_however_long():
+    for t in ("<p></p>" * 100, "&nbsp;" * 100, " " * 400 + "N/A" + " " * 400, "<div>" * 80 + "n/a" + "</div>" * 80, "\u200b" * 500, "-" * 500):
+        assert answers.is_empty(t), t
+    assert not answers.is_empty("<p>" * 100 + "The town pays." + "</p>" * 100)
 
 
 def test_endings():
