@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import base64
 import os
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +36,8 @@ REMEMBERED = 1 << 19
 class PairIndexEncoder:
     """The ids of words by a rank file; the same ids as the public tokenizer gives without special tokens."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, file: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines()) if a}
         self.split = regex.compile(PATTERN).findall
         self.single = [self.ranks[bytes([i])] for i in range(256)]
         self.token = {r: t for t, r in self.ranks.items()}
@@ -109,10 +109,22 @@ class PairIndexEncoder:
         return [list(map(known, ws)) for ws in split]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> PairIndexEncoder:
+_encoders: dict[int, PairIndexEncoder] = {}
+
+
+def encoder(file: Broadcast) -> PairIndexEncoder:
     """One encoder per worker and file."""
-    return PairIndexEncoder(path)
+    known = zlib.crc32(file.value)
+    if known not in _encoders:
+        _encoders.clear()
+        _encoders[known] = PairIndexEncoder(file.value)
+    return _encoders[known]
+
+
+def vocabulary_file(spark: SparkSession, folder: str, vocabulary: str) -> Broadcast:
+    """The file (under a megabyte) as the driver reads it, sent to the executors: they need no copy of the folder."""
+    with open(os.path.join(folder, vocabulary), "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.RecordBatch]:
@@ -127,10 +139,10 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     A null and an empty text both give an empty list. A null id is kept; rows that repeat come out as often as they came;
     texts of any length are encoded whole; further columns are not read.
     """
-    path = os.path.join(folder, vocabulary)
+    file = vocabulary_file(docs.sparkSession, folder, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(file)
         for part in _chunks(batches):
             words = enc.encode(part.column(1).to_pylist())
             flat = np.fromiter(chain.from_iterable(chain.from_iterable(words)), np.int32)
@@ -143,12 +155,12 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def token_counts(docs: DataFrame, text_col: str = "text", *, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs with its text replaced by n_tokens, the number of its ids; 0 for a null or empty text."""
-    path = os.path.join(folder, vocabulary)
+    file = vocabulary_file(docs.sparkSession, folder, vocabulary)
     docs = docs.select([c for c in docs.columns if c != "n_tokens"])
     keep = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(file)
         for part in _chunks(batches):
             n = [sum(map(len, ws)) for ws in enc.encode(part.column(text_col).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n, pa.int64())], [*keep, "n_tokens"])

@@ -138,7 +138,7 @@ def test_groups_and_deal(spark, tables):
 @pytest.mark.skipif(not os.path.isdir(encode.TOKENIZERS), reason="no tokenizer files here")
 def test_encoding_is_that_of_the_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
-    e = encode.PairIndexEncoder(os.path.join(encode.TOKENIZERS, encode.VOCABULARY))
+    e = encode.PairIndexEncoder(open(os.path.join(encode.TOKENIZERS, encode.VOCABULARY), "rb").read())
     lib = tiktoken.Encoding("own", pat_str=encode.PATTERN, mergeable_ranks=e.ranks, special_tokens={})
     rng = random.Random(5)
     texts = ["", None, " ", "a" * 3000, "aaaa aaaa", "<|endoftext|> x", "l'été  \n\n\tça 😀​", "x" * 100_000] + ["".join(rng.choice("aab  \n\tçé😀ß.,1") for _ in range(200)) for _ in range(60)]
@@ -158,6 +158,10 @@ def test_mixture(spark, tables):
     assert rep["r", "big"]["actual_share"] == pytest.approx(0.6, abs=0.01) and rep["r", "small"]["most_repeats"] <= 2 and rep["s", "small"]["most_repeats"] == 3 and rep["r", "none"]["n_tokens"] == 0
     shards = mixture.p7_shards(spark, d).collect()
     assert len({(r["recipe"], r["doc_id"], r["copy"]) for r in shards}) == len(shards) and {r["shard"] for r in shards} <= set(range(mixture.SHARDS))
+    mix = {(r["recipe"], r["doc_id"]): r["repeats"] for r in mixture.p7_mix(spark, d).collect()}
+    assert sum(mix.values()) == len(shards) and all(n <= {"big": 1, "small": 3}["small" if k[1] % 4 == 2 else "big"] for k, n in mix.items())
+    by_shard = mixture.p7_shard_report(spark, d).collect()
+    assert sum(r["n_tokens"] for r in by_shard) == sum(r["n_tokens"] for r in rep.values())
 
 
 def test_subjects_on_held_out_documents(spark):

@@ -157,11 +157,11 @@ def test_quotas():
 @settings(max_examples=30)
 @given(st.integers(0, 90), st.integers(1, 16))
 def test_split_tree(n, shards):
-    home = split_tree(list(range(n)), shards, "seed")
-    assert set(home) == set(range(n)) and home == split_tree(list(range(n)), shards, "seed")
-    if n:
-        sizes = [list(home.values()).count(s) for s in range(shards)]
-        assert max(sizes) - min(sizes) <= 5  # one draw of the fraction at each level
+    units = {"a": n, "b": n // 3, "c": 0}
+    got = split_tree(units, shards, "seed")
+    assert got == split_tree(units, shards, "seed") and {s: sum(x) for s, x in got.items()} == units
+    sizes = [sum(x) for x in zip(*got.values())]
+    assert len(sizes) == shards and max(sizes) - min(sizes) <= 5  # one draw of the fraction at each level
 
 
 def test_rarest_segments_are_enough_and_disjoint():
