@@ -1,17 +1,21 @@
 """References to records that do not exist: deleted, missing or arriving after the row that names them.
 
-Parent and child keys are put in long form, tagged with what they are, and grouped by the parent's key with partial
-aggregation: one row per key says whether a parent came, when, and what the removal log said last. Child rows meet
-that table again by key; adaptive execution splits a hot key on the child's side, where the other side has one row.
+Parent and child keys are put in one long form, tagged with what they are, and grouped by the kind of parent and the key,
+in two steps so that a key that a third of all rows name is combined before the shuffle: by month of the children first,
+then over the months. A group so has the months' counts of its children, whether a parent came and when, and what the
+removal log said last. Groups that lack a parent (or whose parent was deleted, or came after a child) are kept. A report
+is the sum of the kept groups' counts by month; rows are listed by joining the children to the kept groups, where
+adaptive execution splits a hot key on the children's side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusloom.keys import TEXT_TABLES, key, stripped
-from corpusloom.session import table
+from corpusloom.session import table, written
 
 #: child table -> (its key, the reference, the time of arrival, the parent tables)
 REFERENCES = {
@@ -33,17 +37,44 @@ def children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def parent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long form of the parents' keys and the removal log: one row per key with, by parent table, the first arrival."""
-    parts = [table(spark, sf_dir, t).select(key("id").alias("ref"), F.lit(t).alias("what"), F.col("ingested_at").alias("at"), F.lit(None).cast("bigint").alias("entry"), F.lit(None).cast("boolean").alias("gone")) for t in TEXT_TABLES]
-    parts.append(table(spark, sf_dir, "removal_log").select(key("id").alias("ref"), F.lit("log").alias("what"), F.col("logged_at").alias("at"), F.col("entry_id").alias("entry"), (key("entry_type") == "delete").alias("gone")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    firsts = [F.min(F.when(F.col("what") == t, F.col("at"))).alias(f"at_{t}") for t in TEXT_TABLES]
-    there = [F.max((F.col("what") == t).cast("int")).alias(f"has_{t}") for t in TEXT_TABLES]
-    last = F.max(F.when(F.col("what") == "log", F.struct("at", "entry", "gone")))["gone"].alias("deleted")
-    return long.where("ref is not null").groupBy("ref").agg(*firsts, *there, last)
+def tagged(spark: SparkSession, sf_dir: str, referring: DataFrame) -> DataFrame:
+    """Long form: tbl (whose references are meant), ref, tag (child, parent or log), at, month (of children), entry and gone (of the log)."""
+    none = {"month": F.lit(None).cast("string"), "entry": F.lit(None).cast("bigint"), "gone": F.lit(None).cast("boolean")}
+
+    def form(rows: DataFrame, tbl: Column, tag: str, at: str, **own: Column) -> DataFrame:
+        extra = none | own
+        return rows.select(tbl.alias("tbl"), "ref", F.lit(tag).alias("tag"), F.col(at).alias("at"), *[extra[c].alias(c) for c in none])
+
+    long = form(referring, F.col("tbl"), "child", "arrival", month=F.date_format("arrival", "yyyy-MM"))
+    for parent in TEXT_TABLES:
+        kinds = [tbl for tbl, (_, _, _, parents) in REFERENCES.items() if parent in parents]
+        rows = table(spark, sf_dir, parent).select(key("id").alias("ref"), "ingested_at")
+        long = long.unionByName(form(rows, F.explode(F.array(*map(F.lit, kinds))), "parent", "ingested_at"))
+    log = table(spark, sf_dir, "removal_log").select(key("id").alias("ref"), "logged_at", F.col("entry_id").alias("e"), (key("entry_type") == "delete").alias("g"))
+    long = long.unionByName(form(log, F.explode(F.array(*map(F.lit, REFERENCES))), "log", "logged_at", entry=F.col("e"), gone=F.col("g")))
+    return long.where("ref is not null")
+
+
+def groups(long: DataFrame) -> DataFrame:
+    """tbl, ref, kind (missing, deleted, late or null) and months: month, n, first and last arrival of the group's children."""
+    child, parent, log = (F.col("tag") == t for t in ("child", "parent", "log"))
+    by_month = long.groupBy("tbl", "ref", "month").agg(
+        F.count(F.when(child, 1)).alias("n"), F.min(F.when(child, F.col("at"))).alias("first"), F.max(F.when(child, F.col("at"))).alias("last"),
+        F.max(parent.cast("int")).alias("there"), F.min(F.when(parent, F.col("at"))).alias("since"), F.max(F.when(log, F.struct("at", "entry", "gone"))).alias("said"),
+    )
+    # a row a month: as many as the calendar has
+    whole = by_month.groupBy("tbl", "ref").agg(
+        F.collect_list(F.when(F.col("n") > 0, F.struct("month", "n", "first", "last"))).alias("months"), F.min("first").alias("first"),
+        F.max("there").alias("there"), F.min("since").alias("since"), F.max("said")["gone"].alias("deleted"),
+    )
+    kind = F.when(F.col("deleted"), "deleted").when(F.col("there") == 0, "missing").when(F.col("since") > F.col("first"), "late")
+    return whole.where(F.size("months") > 0).select("tbl", "ref", kind.alias("kind"), "since", "months")
+
+
+def _listed(referring: DataFrame, kept: DataFrame) -> DataFrame:
+    """The children of kept groups; of a group whose parent came late those that came before it."""
+    rows = referring.join(kept.select("tbl", "ref", "kind", "since"), ["tbl", "ref"])
+    return rows.where((F.col("kind") != "late") | (F.col("since") > F.col("arrival"))).select("tbl", "row_key", "kind", "arrival")
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,16 +84,8 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     child without a time is never late; a log entry without a time counts as the earliest. Of rows with the same key
     the first arrival counts, of ties the smallest reference. Empty tables give an empty result.
     """
-    joined = children(spark, sf_dir).join(parent_keys(spark, sf_dir), "ref", "left")
-    has = at = None
-    for tbl, (_, _, _, parents) in REFERENCES.items():
-        here = F.col("tbl") == tbl
-        one_has = F.greatest(*[F.coalesce(f"has_{t}", F.lit(0)) for t in parents]) if len(parents) > 1 else F.coalesce(f"has_{parents[0]}", F.lit(0))
-        one_at = F.least(*[F.col(f"at_{t}") for t in parents]) if len(parents) > 1 else F.col(f"at_{parents[0]}")
-        has = F.when(here, one_has) if has is None else has.when(here, one_has)
-        at = F.when(here, one_at) if at is None else at.when(here, one_at)
-    kind = F.when(F.col("deleted"), "deleted").when(has == 0, "missing").when(at > F.col("arrival"), "late")
-    return joined.select("tbl", "row_key", kind.alias("kind"), "arrival").where("kind is not null")
+    referring = children(spark, sf_dir)
+    return _listed(referring, groups(tagged(spark, sf_dir, referring)).where("kind is not null"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +93,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphans and all references per table, kind and month of the referring row's first arrival."""
-    month = F.date_format("arrival", "yyyy-MM").alias("month")
-    refs = children(spark, sf_dir).groupBy("tbl", month).agg(F.count("*").alias("n_references"))
-    found = orphans(spark, sf_dir).groupBy("tbl", month, "kind").agg(F.count("*").alias("n"))
-    return found.join(refs, ["tbl", "month"]).select("tbl", "month", "kind", "n", "n_references")
+    """Orphans and all references per table, kind and month of the referring row's first arrival: sums of the groups' counts."""
+    referring = written(children(spark, sf_dir), "children")
+    each = written(groups(tagged(spark, sf_dir, referring)), "groups")
+    months = each.select("tbl", "ref", "kind", "since", F.explode("months").alias("m")).select("tbl", "ref", "kind", "since", "m.*")
+    # of a late parent's groups a month counts whole or not at all, but for the one in which the parent came
+    whole = F.when(F.col("kind") == "late", F.col("last") < F.col("since")).otherwise(F.col("kind").isNotNull())
+    split = (F.col("kind") == "late") & (F.col("first") < F.col("since")) & (F.col("last") >= F.col("since"))
+    found = months.groupBy("tbl", "month", "kind").agg(F.sum("n").alias("n_all"), F.sum(F.when(whole, F.col("n")).otherwise(0)).alias("n"))
+    rest = months.where(split).select("tbl", "ref", "month", "since").withColumnRenamed("month", "m")
+    rest = referring.join(rest, ["tbl", "ref"]).where((F.col("arrival") < F.col("since")) & (F.date_format("arrival", "yyyy-MM") == F.col("m")))
+    found = found.unionByName(rest.groupBy("tbl", F.col("m").alias("month")).agg(F.lit("late").alias("kind"), F.lit(0).cast("bigint").alias("n_all"), F.count("*").alias("n")))
+    # one row for each table, kind and month from here
+    sums = found.groupBy("tbl", "month", "kind").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"))
+    return sums.withColumn("n_references", F.sum("n_all").over(W.partitionBy("tbl", "month"))).where("n > 0 and kind is not null").select("tbl", "month", "kind", "n", "n_references")
 
 
 _K = "nullif(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '')"
