@@ -3,8 +3,8 @@
 Records are linked by author, by the record they were made from, or by a common such record. Each record hangs on its
 author (or, without one, on itself), which contracts the stars of authors before any edge is built. The edges left run
 between those: a Borůvka round lets every vertex pick its least edge (by a hash of the edge, so that trees stay shallow),
-jumps along the picks to the root and contracts. The picked edges are the spanning forest; each round is written to the
-shared folder. Rounds are logarithmic in the number of vertices. Nothing but counts comes to the driver.
+jumps along the picks to the root and contracts. The picked edges, with the records whose edges they are, and the stars are
+the spanning forest; each round is written to the shared folder. Rounds are logarithmic in the number of vertices. Nothing but counts comes to the driver.
 """
 
 from __future__ import annotations
@@ -38,11 +38,16 @@ def hung(records: DataFrame) -> DataFrame:
 
 
 def label_edges(recs: DataFrame) -> DataFrame:
-    """Distinct edges (u, v), u < v, between vertices: from a record's to that of the record it was made from."""
-    refs = recs.where("src is not null").select("label", "src").distinct()
+    """Distinct edges (u, v), u < v, between vertices: from a record's to that of the record it was made from.
+
+    ou, ov: a record's own vertex and that of the record it names, whose edge it is; the least of those that fall together.
+    """
+    refs = recs.where("src is not null").groupBy("label", "src").agg(F.min("k").alias("k"))
     ends = refs.join(recs.select(F.col("k").alias("src"), F.col("label").alias("other")), "src", "left")
-    other = F.coalesce("other", F.concat(F.lit("i:"), "src"))
-    return ends.select(F.least("label", other).alias("u"), F.greatest("label", other).alias("v")).where("u <> v").distinct()
+    own = F.concat(F.lit("i:"), "src")
+    other = F.coalesce("other", own)
+    ends = ends.select(F.least("label", other).alias("u"), F.greatest("label", other).alias("v"), F.struct(F.concat(F.lit("i:"), "k").alias("ou"), own.alias("ov")).alias("o")).where("u <> v")
+    return ends.groupBy("u", "v").agg(F.min("o").alias("o")).select("u", "v", "o.ou", "o.ov")
 
 
 def grouped(records: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -94,25 +99,29 @@ def deal(sizes: DataFrame, shares: dict[str, float] = SHARES, seed: str = "42")
     for b, groups in counts.items():
         cells = F.when(F.col("band") == b, max(1, -(-groups // CELL))).otherwise(cells)
     rest = rest.withColumn("cell", F.pmod("h", cells))
-    out = written(big.unionByName(_on_a_line(rest.where("band > 0"), lack).select(columns)), "dealt")
+    out = written(big.unionByName(_on_a_line(rest.where("band > 0"), lack, shares).select(columns)), "dealt")
     for r in out.groupBy("new_split").agg(F.sum("n").alias("n")).collect():  # one row per split
         lack[r["new_split"]] = shares[r["new_split"]] * total - r["n"]
     for s in set(shares) - {r["new_split"] for r in out.select("new_split").distinct().collect()}:
         lack[s] = shares[s] * total
     # single records make up for what the larger groups left uneven
-    return out.unionByName(_on_a_line(rest.where("band = 0"), lack).select(columns))
+    return out.unionByName(_on_a_line(rest.where("band = 0"), lack, shares).select(columns))
 
 
-def _on_a_line(rest: DataFrame, lack: dict[str, float]) -> DataFrame:
+def _on_a_line(rest: DataFrame, lack: dict[str, float], shares: dict[str, float]) -> DataFrame:
     """new_split by where the middle of a group's records lies on its cell's line, cut in the proportion of what splits lack."""
     w = W.partitionBy("band", "cell").orderBy("h", "root")
     place = (F.sum("n").over(w) - F.col("n") / 2) / F.sum("n").over(W.partitionBy("band", "cell"))
-    wanted = {s: max(0.0, lack[s]) for s in SPLITS}
-    whole = sum(wanted.values())
-    if whole <= 0:
-        wanted, whole = dict(SHARES), sum(SHARES.values())
-    cut1, cut2 = wanted["train"] / whole, (wanted["train"] + wanted["val"]) / whole
-    return rest.withColumn("place", place).withColumn("new_split", F.when(F.col("place") < cut1, "train").when(F.col("place") < cut2, "val").otherwise("test"))
+    wanted = {s: max(0.0, lack[s]) for s in shares}
+    if sum(wanted.values()) <= 0:
+        wanted = dict(shares)
+    *names, last = shares
+    new, end = None, 0.0
+    for s in names:
+        end += wanted[s] / sum(wanted.values())
+        here = F.col("place") < end
+        new = F.when(here, s) if new is None else new.when(here, s)
+    return rest.withColumn("place", place).withColumn("new_split", F.lit(last) if new is None else new.otherwise(last))
 
 
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,10 +144,15 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spanning forest: edges picked in each round, between the vertices of that round."""
+    """The spanning forest over records (i:), authors (a:) and records that are named but missing (i:).
+
+    Round -1 hangs each record on its author; the later rounds' edges, each between a record and the one it names, join
+    what is still apart.
+    """
     recs = written(hung(linked_records(spark, sf_dir)), "records")
     _, forest = contract(label_edges(recs))
-    return forest if forest is not None else spark.createDataFrame([], "u string, v string, round int")
+    stars = recs.where("au is not null").select(F.concat(F.lit("i:"), "k").alias("u"), F.col("label").alias("v"), F.lit(-1).alias("round"))
+    return stars if forest is None else stars.unionByName(forest)
 
 
 QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits, "p5_report": p5_report, "p5_forest": p5_forest}

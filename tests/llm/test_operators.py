@@ -124,6 +124,19 @@ def test_groups_and_deal(spark, tables):
         groups.setdefault(find("i" + k), []).append(k)
     want = {(k, min(g)) for g in groups.values() if len({split[k] for k in g} & {"train", "val", "test"}) > 1 for k in g}
     assert {tuple(r) for r in grouped.p5_found(spark, d).collect()} == want
+    # the forest spans records, authors and missing originals: no edge closes a circle, and the trees are the groups
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in grouped.p5_forest(spark, d).collect():
+        a, b = top(r["u"]), top(r["v"])
+        assert a != b
+        up[a] = b
+    assert {frozenset(k for k in split if top(f"i:{k}") == t) for t in {top(f"i:{k}") for k in split}} == {frozenset(g) for g in groups.values()}
     dealt = grouped.p5_splits(spark, d).collect()
     of = {}
     for r in dealt:
@@ -133,6 +146,8 @@ def test_groups_and_deal(spark, tables):
     n = {r["new_split"]: r["n"] for r in grouped.deal(sizes).groupBy("new_split").agg(F.sum("n").alias("n")).collect()}
     total = sum(n.values())
     assert all(abs(n[s] - share * total) <= 2 for s, share in grouped.SHARES.items())
+    n = {r["new_split"]: r["n"] for r in grouped.deal(sizes, {"a": 0.5, "b": 0.3, "c": 0.1, "d": 0.1}).groupBy("new_split").agg(F.sum("n").alias("n")).collect()}
+    assert sorted(n) == ["a", "b", "c", "d"] and abs(n["a"] - 0.5 * total) <= 2
 
 
 @pytest.mark.skipif(not os.path.isdir(encode.TOKENIZERS), reason="no tokenizer files here")
