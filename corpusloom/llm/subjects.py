@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from corpusloom.llm.cut import lightly
 from corpusloom.session import table, written
@@ -39,6 +38,7 @@ SHARE = 0.25
 #: Least sum of assignments with which a sentence belongs to an area.
 EVIDENCE = 0.6
 NONE = "none"
+MOST_AREAS = 62
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[.!?]+(?=\s|$)|\n+")
 _TOKENS = "doc_id bigint, mask bigint, cells array<int>"
 
@@ -68,8 +68,8 @@ def tokens(docs: DataFrame, labels: DataFrame, areas: list[str]) -> DataFrame:
     """doc_id, mask (bit t: a label of area t; bit len(areas): the label none; 0: no label) and the cells of the text."""
     bit = F.create_map(*[F.lit(x) for i, a in enumerate([*areas, NONE]) for x in (a, 1 << i)])
     known = labels.select("doc_id", F.lower(F.trim("subject")).alias("s")).where(F.col("s").isin(*areas, NONE) & F.col("doc_id").isNotNull())
-    votes = known.groupBy("doc_id", "s").agg(F.count("*").alias("n")).withColumn("most", F.max("n").over(W.partitionBy("doc_id")))
-    masks = votes.groupBy("doc_id").agg(F.bit_or(bit[F.col("s")].cast("bigint")).alias("mask"))
+    # where annotators disagree, a document may use the topics of all its labels; its own terms decide between them
+    masks = known.groupBy("doc_id").agg(F.bit_or(bit[F.col("s")].cast("bigint")).alias("mask"))
     return docs.select("doc_id", "text").join(masks, "doc_id", "left").select("doc_id", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask"), "text").mapInArrow(_tokenise, _TOKENS)
 
 
@@ -97,15 +97,16 @@ def infer(model: np.ndarray, cells: np.ndarray, doc: np.ndarray, allowed: np.nda
     n_docs, k = allowed.shape
     p = model[cells]
     theta = allowed / allowed.sum(1, keepdims=True)
-    r = p
+    r, ones = np.empty_like(p), np.ones(k, np.float32)
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
     for _ in range(STEPS):
-        r = p * theta[doc]
-        r /= r.sum(1, keepdims=True) + 1e-30
+        np.take(theta, doc, axis=0, out=r, mode="clip")
+        r *= p
+        r *= (1 / (r @ ones + np.float32(1e-30)))[:, None]
         got = np.zeros((n_docs, k), np.float32)
         if len(starts):
             got[doc[starts]] = np.add.reduceat(r, starts, axis=0)
-        theta = (got + ALPHA) * allowed
+        theta = ((got + ALPHA) * allowed).astype(np.float32)
         theta /= theta.sum(1, keepdims=True)
     return theta, r
 
@@ -219,7 +220,9 @@ def subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, share: flo
     rows may repeat and disagree: a document may use all topics it was labelled with); areas: subject. A null, empty or
     wordless text gives no row; texts of any length are read whole. Without labels nothing is known: no rows.
     """
-    names = [r["subject"] for r in areas.select(F.lower(F.trim("subject")).alias("subject")).where("subject is not null").distinct().orderBy("subject").limit(62).collect()]  # a fixed, small table
+    names = [r["subject"] for r in areas.select(F.lower(F.trim("subject")).alias("subject")).where("subject is not null").distinct().orderBy("subject").collect()]  # a fixed, small table
+    if len(names) > MOST_AREAS:
+        raise ValueError(f"{len(names)} areas; a mask of labels holds {MOST_AREAS}")
     k = len(names) + 1
     toks = written(tokens(docs.where("doc_id is not null"), labels, names), "tokens")
     model = toks.sparkSession.sparkContext.broadcast(_weights(fit(toks, k, passes)))
