@@ -27,12 +27,14 @@ _WORD = re.compile(r"\w+")
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _cells(c: np.ndarray) -> np.ndarray:
-    h = (c[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ (c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F))) + c[2:] * np.uint64(0x165667B19E3779F9)
-    return (((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64)
+    h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA77))
+    h += c[2:] * np.uint32(0xC2B2AE3D)
+    h ^= h >> np.uint32(15)
+    return (h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
 
 
 class Languages:
@@ -40,13 +42,14 @@ class Languages:
 
     def __init__(self, names: list[str], table: np.ndarray, chars: np.ndarray, usual: np.ndarray):
         self.names, self.table, self.chars, self.usual = names, table, chars, usual
+        self._columns: dict[int, np.ndarray] = {}
 
     def scores(self, text: str) -> np.ndarray:
         """(trigrams, languages) of a text."""
         c = _codes(text)
         if len(c) < 3:
             return np.zeros((0, len(self.names)), np.float32)
-        by_char = self.chars[(c % np.uint64(CHARS)).astype(np.int64)]
+        by_char = self.chars[c & np.uint32(CHARS - 1)]
         return self.table[_cells(c)] - (by_char[:-2] + by_char[1:-1] + by_char[2:])[:, None]
 
     def of(self, text: str | None) -> int:
@@ -55,11 +58,23 @@ class Languages:
         best = int(got.argmax()) if len(got) else -1
         return best if best >= 0 and got[best] > 0 else -1
 
+    def mean_for(self, text: str, own: int) -> float:
+        """The mean score of the text's trigrams for one language."""
+        c = _codes(text)
+        if len(c) < 3:
+            return 0.0
+        column = self._columns.get(own)
+        if column is None:
+            column = self._columns[own] = np.ascontiguousarray(self.table[:, own], np.float32)
+        by_char = self.chars[c & np.uint32(CHARS - 1)]
+        inner = 3 * float(by_char.sum()) - 2 * float(by_char[0] + by_char[-1]) - float(by_char[1] + by_char[-2])
+        return (float(column[_cells(c)].sum()) - inner) / (len(c) - 2)
+
     def in_other(self, text: str, own: int) -> bool:
         """More than half of the words are in sentences that are not in the language `own`."""
-        s = self.scores(text)
-        if len(s) == 0 or s[:, own].mean() > 0.7 * self.usual[own]:
+        if len(text) < 3 or self.mean_for(text, own) > 0.7 * self.usual[own]:
             return False  # texts half in another language score far less
+        s = self.scores(text)
         total = np.concatenate([np.zeros((1, s.shape[1]), np.float64), np.cumsum(s, axis=0, dtype=np.float64)])
         mine = others = 0
         at, lower = 0, text.lower()
@@ -95,7 +110,7 @@ def fit(names: list[str], rows: list[tuple[str, str]]) -> Languages:
     codes = [(number[x], _codes(t)) for x, t in rows if x in number and t and len(t) >= 3]
     chars = np.full(CHARS, 1.0)
     for _, c in codes:
-        chars += np.bincount((c % np.uint64(CHARS)).astype(np.int64), minlength=CHARS)
+        chars += np.bincount(c & np.uint32(CHARS - 1), minlength=CHARS)
     # a character that hardly came counts as a usual one, so that strange scripts don't look likely beside it
     freq = chars / chars.sum()
     model = Languages(names, np.zeros((1 << BITS, k)), np.log(np.where(freq < 1e-5, _UNSEEN, freq)), np.zeros(k))
