@@ -27,8 +27,8 @@ REFUSAL_OPENINGS = (
     r"^\(?Note:",
 )
 REFUSAL = "(?i)" + "|".join(REFUSAL_OPENINGS)
-#: ASCII characters that the SQL compares by edit distance; the queries compare whole texts.
-EDIT_PREFIX = 200
+#: A character of a word in any script, as a class that Java and RE2 read alike.
+WORD = r"\p{L}\p{N}_"
 #: Added before rounding, so that halves round alike in any engine.
 NUDGE = 1e-9
 
@@ -109,12 +109,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def n_sentences(t: Column) -> Column:
+    """Pieces between runs of . ! ? before white space or the end that aren't blank; at least 1."""
+    return F.greatest(F.size(F.filter(F.split(t, f"[.!?]+(?:[{SPACE}]+|$)"), lambda s: s.rlike(f"[^{SPACE}]"))), F.lit(1))
+
+
 def surface(c: Column | str) -> dict[str, Column]:
     """Word, character, sentence and punctuation statistics; rates are 0 where there are no words."""
     t = text_of(c)
-    words = F.regexp_extract_all(t, F.lit(r"([0-9A-Za-z_]+)"), F.lit(1))
-    n = F.size(words)
-    sents = F.greatest(F.size(F.filter(F.split(t, r"[.!?]+(?:\s+|$)"), lambda s: F.length(F.regexp_replace(s, r"\s", "")) > 0)), F.lit(1))
+    words = F.regexp_extract_all(t, F.lit(f"([{WORD}]+)"), F.lit(1))
+    n, sents = F.size(words), n_sentences(t)
     rate = lambda x: F.when(n > 0, F.round(x / n + NUDGE, 6)).otherwise(0.0)
     return {
         "n_words": n,
@@ -130,10 +134,9 @@ def surface(c: Column | str) -> dict[str, Column]:
 def readability(c: Column | str) -> dict[str, Column]:
     """Coleman-Liau, LIX, ARI and shares of stop words, capitals and marks, from counts alone; 0 for wordless texts."""
     t = text_of(c)
-    words = F.regexp_extract_all(t, F.lit(r"([A-Za-z]+)"), F.lit(1))
-    n = F.size(words)
+    words = F.regexp_extract_all(t, F.lit(r"(\p{L}+)"), F.lit(1))
+    n, sents = F.size(words), n_sentences(t)
     letters = F.length(F.array_join(words, ""))
-    sents = F.greatest(F.size(F.filter(F.split(t, r"[.!?]+(?:\s+|$)"), lambda s: F.length(F.regexp_replace(s, r"\s", "")) > 0)), F.lit(1))
     long_words = F.size(F.filter(words, lambda w: F.length(w) > 6))
     stop = F.size(F.filter(words, lambda w: F.lower(w).isin("the", "a", "an", "of", "to", "in", "and", "is", "it", "that", "for", "on", "with", "as", "was")))
     some = lambda x: F.when(n > 0, F.round(x + NUDGE, 6)).otherwise(0.0)
@@ -142,7 +145,7 @@ def readability(c: Column | str) -> dict[str, Column]:
         "lix": some(n / sents + 100.0 * long_words / n),
         "ari": some(4.71 * letters / n + 0.5 * n / sents - 21.43),
         "stop_rate": some(stop / n),
-        "caps_rate": some(F.size(F.filter(words, lambda w: (F.length(w) > 1) & (F.upper(w) == w))) / n),
+        "caps_rate": some(F.size(F.filter(words, lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w))) / n),
         "exclaim_rate": some(F.regexp_count(t, F.lit("!")) / n),
         "quote_rate": some(F.regexp_count(t, F.lit('"')) / n),
     }

@@ -352,13 +352,20 @@ def sentence_refs(spark, d, least=6, first=50):
     return with_global_rank(s, "h", "r", part=["label"]).where(F.col("r") <= first).select("label", F.col("k").alias("id"), "pos", "r")
 
 
+def edit_sql(a: str, b: str) -> str:
+    """Edits between two texts and the longer length, as a struct. DuckDB counts bytes: a pair's other characters (at most 17) stand as control characters that texts don't hold."""
+    others = f"list_distinct(regexp_extract_all(coalesce({a}, '') || coalesce({b}, ''), '[^\\x00-\\x7f]'))"
+    one = lambda c: f"list_reduce(list_concat([coalesce({c}, '')], {others}), lambda acc, c, i: replace(acc, c, chr(14 + i::int)))"
+    return f"{{'edits': levenshtein({one(a)}, {one(b)}), 'longer': greatest(length(coalesce({a}, '')), length(coalesce({b}, '')))}}"
+
+
 _Q = f"""r as (select k, model, src, text from corpus where tbl = 'rewritten_texts'), h as (select k as src, text as orig, true as there from corpus where tbl = 'human_texts'),
   p as (select r.k, r.model, r.text, h.orig, h.there, {nw('r.text')} as n, {nw('h.orig')} as ow,
-    substr(regexp_replace(coalesce(r.text, ''), '[^ -~]', '', 'g'), 1, {T.EDIT_PREFIX}) as a, substr(regexp_replace(coalesce(h.orig, ''), '[^ -~]', '', 'g'), 1, {T.EDIT_PREFIX}) as b from r left join h on r.src = h.src),
+    {edit_sql('r.text', 'h.orig')} as e from r left join h on r.src = h.src),
   q as (select k, model, case when regexp_matches(substr(coalesce(text, ''), 1, 200), '{T.REFUSAL.replace("'", "''")}') then 'refusal' when there is null then 'missing_source'
     when regexp_replace(coalesce(text, ''), '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g') = regexp_replace(coalesce(orig, ''), '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g') then 'echo'
     when n < 30 or n < 0.30::double * ow then 'too_short' when n > 2.0::double * ow then 'too_long'
-    when greatest(length(a), length(b)) > 0 and levenshtein(a, b) < (1 - 0.95::double) * greatest(length(a), length(b)) and levenshtein(a, b) <= {int((1 - 0.95) * T.EDIT_PREFIX)} then 'near_duplicate' else 'clean' end as rule from p)"""
+    when e.edits < (1 - 0.95::double) * e.longer then 'near_duplicate' else 'clean' end as rule from p)"""
 
 _W = f"with {CORPUS}"
 _REF = T.REFUSAL.replace("'", "''")

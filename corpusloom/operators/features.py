@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from corpusloom.functions import text as T
 from corpusloom.keys import first_arrivals, key, text_records
-from corpusloom.operators.corpus import _K, CORPUS, NW
+from corpusloom.operators.corpus import CORPUS, edit_sql
 from corpusloom.session import spread, table
 
 _W = f"with {CORPUS}"
@@ -67,32 +67,36 @@ def style_vector(spark, d):
 
 
 def _sentences(spark, d) -> DataFrame:
-    """author_id, k, pos, sentence of human records with an author: split at full stops, blank ones dropped."""
+    """author_id, k, pos, sentence of human records with an author: split at full stops, blank ones dropped; pos and sentence are null for a text without any."""
     t = _texts(spark, d, ("human_texts",)).where("author_id is not null")
-    parts = F.filter(F.transform(F.split(T.text_of("text"), r"\."), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    return t.select("author_id", "k", F.posexplode(parts).alias("pos", "sentence"))
+    parts = F.filter(F.transform(F.split(T.text_of("text"), r"\."), T.strip), lambda s: s != "")
+    return t.select("author_id", "k", F.posexplode_outer(parts).alias("pos", "sentence"))
 
 
 def tfidf_sentences(spark, d):
-    """Sum of the L2-normalised tf-idf weights of each sentence, fitted on its author's sentences.
+    """Sum of the L2-normalised tf-idf weights of each sentence, fitted on its author's texts; terms are words of two characters or more, in any script.
 
     One row a term, aggregated before each shuffle; a large author is many (author, term) groups.
     """
-    s = _sentences(spark, d)
-    terms = s.select("author_id", "k", "pos", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"([0-9a-z_]{2,})"), F.lit(1))).alias("term"))
+    return _scored(_sentences(spark, d)).select("author_id", F.col("k").alias("id"), "pos", "score")
+
+
+def _scored(s: DataFrame) -> DataFrame:
+    terms = s.select("author_id", "k", "pos", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(f"([{T.WORD}]{{2,}})"), F.lit(1))).alias("term"))
     tf = terms.groupBy("author_id", "k", "pos", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("author_id", "term").agg(F.count("*").alias("df"))
-    n = s.groupBy("author_id").agg(F.count("*").alias("n"))
+    df = tf.select("author_id", "term", "k").distinct().groupBy("author_id", "term").agg(F.count("*").alias("df"))
+    n = s.select("author_id", "k").distinct().groupBy("author_id").agg(F.count("*").alias("n"))
     w = tf.join(df, ["author_id", "term"]).join(n, "author_id").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     score = w.groupBy("author_id", "k", "pos").agg((F.sum("w") / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score"))
-    return s.join(score, ["author_id", "k", "pos"], "left").select("author_id", F.col("k").alias("id"), "pos", F.round(F.coalesce("score", F.lit(0.0)), 5).alias("score"))
+    return s.where("pos is not null").join(score, ["author_id", "k", "pos"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 5))
 
 
 def principal_text(spark, d):
-    """The positions of each text's five sentences of highest score, in the order of the score (ties by position)."""
-    s = tfidf_sentences(spark, d)
-    r = s.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "pos"))).where(F.col("r") <= PRINCIPAL)
-    return r.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "pos"))), lambda x: x["pos"].cast("string")), " ").alias("positions"))
+    """Each text's five sentences of highest score in the order of the score (ties by position), and their positions."""
+    r = _scored(_sentences(spark, d)).withColumn("r", F.row_number().over(W.partitionBy("k").orderBy(F.desc("score"), "pos"))).where(F.col("r") <= PRINCIPAL)
+    best = F.array_sort(F.collect_list(F.struct("r", "pos", "sentence")))
+    joined = lambda c: F.array_join(F.transform(best, lambda x: x[c].cast("string")), " ")
+    return r.groupBy(F.col("k").alias("id")).agg(joined("pos").alias("positions"), joined("sentence").alias("principal"))
 
 
 # ---- vectors
@@ -170,33 +174,32 @@ def block_stats(spark, d):
 
 
 _DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::double * p[2]::double))"
-_SENTS = "greatest(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+(?:\\s+|$)'), lambda s: length(regexp_replace(s, '\\s', '', 'g')) > 0)), 1)"
+_SENTS = f"greatest(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+(?:[{T.SPACE}]+|$)'), lambda s: regexp_matches(s, '[^{T.SPACE}]'))), 1)"
 _PUNCT = "[\\.,;:!?\\-\"''()\\[\\]]"
 _TOK = lambda c: f"regexp_extract_all(lower(coalesce({c}, '')), '[^{T.SPACE}]+')"
 _NG = lambda a, n: f"list_distinct(case when len({a}) >= {n} then list_transform(range(1, len({a}) - {n} + 2), lambda i: array_to_string(list_slice({a}, i, i + {n} - 1), ' ')) else [] end)"
 _JAC = lambda a, b: f"case when len({a}) = 0 and len({b}) = 0 then 1.0 else len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b})))::double end"
-_ASC = lambda c: f"substr(regexp_replace(coalesce({c}, ''), '[^ -~]', '', 'g'), 1, {T.EDIT_PREFIX})"
-_SIM = f"""{_W}, p as (select r.k, r.src, {_TOK('r.text')} as a, {_TOK('h.text')} as b, {_ASC('r.text')} as x, {_ASC('h.text')} as y from corpus r join corpus h on h.k = r.src and h.tbl = 'human_texts' where r.tbl = 'rewritten_texts'),
-  g as (select k, src, {_NG('a', 1)} as a1, {_NG('b', 1)} as b1, {_NG('a', 2)} as a2, {_NG('b', 2)} as b2, {_NG('a', 3)} as a3, {_NG('b', 3)} as b3, x, y from p),
-  s as (select k as id, src, round({_JAC('a1', 'b1')}, 6) as jaccard_1, round({_JAC('a2', 'b2')}, 6) as jaccard_2, round({_JAC('a3', 'b3')}, 6) as jaccard_3, round(case when greatest(length(x), length(y)) = 0 then 0.0 else 1 - levenshtein(x, y) / greatest(length(x), length(y))::double end, 6) as edit_similarity from g)"""
+_SIM = f"""{_W}, o as (select r.k, r.src, {_TOK('r.text')} as a, {_TOK('h.text')} as b, {edit_sql('r.text', 'h.text')} as e from corpus r join corpus h on h.k = r.src and h.tbl = 'human_texts' where r.tbl = 'rewritten_texts'),
+  g as (select k, src, {_NG('a', 1)} as a1, {_NG('b', 1)} as b1, {_NG('a', 2)} as a2, {_NG('b', 2)} as b2, {_NG('a', 3)} as a3, {_NG('b', 3)} as b3, e from o),
+  s as (select k as id, src, round({_JAC('a1', 'b1')}, 6) as jaccard_1, round({_JAC('a2', 'b2')}, 6) as jaccard_2, round({_JAC('a3', 'b3')}, 6) as jaccard_3, round(case when e.longer = 0 then 0.0 else 1 - e.edits / e.longer::double end, 6) as edit_similarity from g)"""
 _NAMES = ["jaccard_1", "jaccard_2", "jaccard_3", "edit_similarity"]
-_TFIDF = f"""{_W}, q as (select author_id, k, list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') as l from corpus where tbl = 'human_texts' and author_id is not null),
-  s as (select author_id, k, unnest(range(len(l)))::int as pos, unnest(l) as sentence from q), t as (select author_id, k, pos, unnest(regexp_extract_all(lower(sentence), '[0-9a-z_]{{2,}}')) as term from s),
-  tf as (select author_id, k, pos, term, count(*) as tf from t group by all), df as (select author_id, term, count(*) as df from tf group by all), n as (select author_id, count(*) as n from s group by 1),
+_TFIDF = f"""{_W}, q as (select author_id, k, list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda s: regexp_replace(s, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g')), lambda s: s <> '') as l from corpus where tbl = 'human_texts' and author_id is not null),
+  s as (select author_id, k, unnest(range(len(l)))::int as pos, unnest(l) as sentence from q), t as (select author_id, k, pos, unnest(regexp_extract_all(lower(sentence), '[{T.WORD}]{{2,}}')) as term from s),
+  tf as (select author_id, k, pos, term, count(*) as tf from t group by all), df as (select author_id, term, count(distinct k) as df from tf group by all), n as (select author_id, count(*) as n from q group by 1),
   w as (select tf.author_id, tf.k, tf.pos, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (author_id, term) join n using (author_id)),
-  sc as (select author_id, k, pos, sum(w) / sqrt(sum(w * w)) as score from w group by all), f as (select s.author_id, s.k as id, s.pos, round(coalesce(score, 0.0), 5) as score from s left join sc using (author_id, k, pos))"""
+  sc as (select author_id, k, pos, sum(w) / sqrt(sum(w * w)) as score from w group by all), f as (select s.author_id, s.k as id, s.pos, s.sentence, round(coalesce(score, 0.0), 5) as score from s left join sc using (author_id, k, pos))"""
 _LETTERS = "length(array_to_string(ws, ''))"
 _ANY = lambda x: f"case when len(ws) > 0 then round({x} + 1e-9, 6) else 0.0 end"
 _DIMS = "x as (select label, vec_id, unnest(range(len(embedding)))::int as dim, unnest(embedding)::double as v from embeddings)"
 SQL = {
-    "surface_stats": f"with w as (select *, regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z_]+') as ws, {_SENTS} as sents from documents) select doc_id, len(ws) as n_words, length(coalesce(text, '')) as n_chars, sents as n_sents, {_ANY(_LETTERS + ' / len(ws)')} as avg_word_len, round(len(ws) / sents, 6) as avg_sent_len, {_ANY('len(list_distinct(list_transform(ws, lambda v: lower(v)))) / len(ws)')} as type_token_ratio, {_ANY(f'''len(regexp_extract_all(coalesce(text, ''), '{_PUNCT}')) / len(ws)''')} as punct_rate from w",
-    "readability": f"""with w as (select *, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') as ws, {_SENTS} as sents from documents) select doc_id, {_ANY(f'5.88::double * {_LETTERS} / len(ws) - 29.6::double * sents / len(ws) - 15.8::double')} as coleman_liau, {_ANY('len(ws) / sents + 100.0::double * len(list_filter(ws, lambda v: length(v) > 6)) / len(ws)')} as lix, {_ANY(f'4.71::double * {_LETTERS} / len(ws) + 0.5::double * len(ws) / sents - 21.43::double')} as ari,
-      {_ANY("len(list_filter(ws, lambda v: lower(v) in ('the', 'a', 'an', 'of', 'to', 'in', 'and', 'is', 'it', 'that', 'for', 'on', 'with', 'as', 'was'))) / len(ws)")} as stop_rate, {_ANY('len(list_filter(ws, lambda v: length(v) > 1 and upper(v) = v)) / len(ws)')} as caps_rate, {_ANY("len(regexp_extract_all(coalesce(text, ''), '!')) / len(ws)")} as exclaim_rate, {_ANY("len(regexp_extract_all(coalesce(text, ''), '\"')) / len(ws)")} as quote_rate from w""",
+    "surface_stats": f"with w as (select *, regexp_extract_all(coalesce(text, ''), '[{T.WORD}]+') as ws, {_SENTS} as sents from documents) select doc_id, len(ws) as n_words, length(coalesce(text, '')) as n_chars, sents as n_sents, {_ANY(_LETTERS + ' / len(ws)')} as avg_word_len, round(len(ws) / sents, 6) as avg_sent_len, {_ANY('len(list_distinct(list_transform(ws, lambda v: lower(v)))) / len(ws)')} as type_token_ratio, {_ANY(f'''len(regexp_extract_all(coalesce(text, ''), '{_PUNCT}')) / len(ws)''')} as punct_rate from w",
+    "readability": f"""with w as (select *, regexp_extract_all(coalesce(text, ''), '\\p{{L}}+') as ws, {_SENTS} as sents from documents) select doc_id, {_ANY(f'5.88::double * {_LETTERS} / len(ws) - 29.6::double * sents / len(ws) - 15.8::double')} as coleman_liau, {_ANY('len(ws) / sents + 100.0::double * len(list_filter(ws, lambda v: length(v) > 6)) / len(ws)')} as lix, {_ANY(f'4.71::double * {_LETTERS} / len(ws) + 0.5::double * len(ws) / sents - 21.43::double')} as ari,
+      {_ANY("len(list_filter(ws, lambda v: lower(v) in ('the', 'a', 'an', 'of', 'to', 'in', 'and', 'is', 'it', 'that', 'for', 'on', 'with', 'as', 'was'))) / len(ws)")} as stop_rate, {_ANY('len(list_filter(ws, lambda v: length(v) > 1 and upper(v) = v and lower(v) <> v)) / len(ws)')} as caps_rate, {_ANY("len(regexp_extract_all(coalesce(text, ''), '!')) / len(ws)")} as exclaim_rate, {_ANY("len(regexp_extract_all(coalesce(text, ''), '\"')) / len(ws)")} as quote_rate from w""",
     "ngram_jaccard": f"{_SIM} select id, jaccard_1, jaccard_2, jaccard_3 from s",
     "edit_similarity": f"{_SIM} select id, edit_similarity from s",
     "style_vector": f"{_SIM}, v as (select src as id, count(*) as n, " + ", ".join(f"round(avg({n}) + 1e-9, 5) as mean_{n}, round(stddev_pop({n}) + 1e-9, 5) as std_{n}" for n in _NAMES) + " from s group by 1) select c.k as id, coalesce(v.n, 0) as n, " + ", ".join(f"coalesce(mean_{n}, 0.0) as mean_{n}, coalesce(std_{n}, 0.0) as std_{n}" for n in _NAMES) + ", v.n is not null as style_ok from corpus c left join v on v.id = c.k where c.tbl = 'human_texts'",
     "tfidf_sentences": f"{_TFIDF} select author_id, id, pos, score from f",
-    "principal_text": f"{_TFIDF}, r as (select id, pos, row_number() over (partition by id order by score desc, pos) as r from f) select id, string_agg(pos::varchar, ' ' order by r) as positions from r where r <= {PRINCIPAL} group by 1",
+    "principal_text": f"{_TFIDF}, r as (select id, pos, sentence, row_number() over (partition by id order by score desc, pos) as r from f) select id, string_agg(pos::varchar, ' ' order by r) as positions, string_agg(sentence, ' ' order by r) as principal from r where r <= {PRINCIPAL} group by 1",
     "cosine_to_mean": f"with {_DIMS}, m as (select label, dim, avg(v) as m from x group by 1, 2), l as (select label, list(m order by dim) as mean from m group by 1) select vec_id, e.label, round({_DOT('embedding', 'mean')} / (sqrt({_DOT('embedding', 'embedding')}) * sqrt({_DOT('mean', 'mean')})), 5) as cosine from embeddings e join l on l.label = e.label",
     "mean_embedding": f"with {_DIMS} select label, dim, round(avg(v), 6) as mean from x group by 1, 2",
     "normalizer_stats": f"with {_DIMS} select dim, round(avg(v), 6) as mean, round(case when stddev_pop(v) < 1e-6 then 1.0 else stddev_pop(v) end, 6) as std from x group by 1",
