@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from corpusloom.functions import text as T
 from corpusloom.keys import TEXT_TABLES, author, first_arrivals, key, split_name, stripped, text_records
-from corpusloom.session import spread
+from corpusloom.session import spread, written
 
 _K = "nullif(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '')"
 _S = "nullif(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '')"
@@ -31,10 +31,10 @@ def nw(c: str) -> str:
 _COLUMNS = {
     "text": lambda: F.col("text"), "is_ai": lambda: F.col("is_ai"), "label": lambda: F.col("label"), "source": lambda: key("source"), "domain": lambda: stripped("domain"), "author_id": lambda: author("author_id"),
     "model": lambda: stripped("model"), "prompt": lambda: F.col("prompt"), "src": lambda: key("source_text_id"), "split": lambda: split_name("split"), "n_words": lambda: T.n_words("text"), "refusal": lambda: T.is_refusal("text"),
-    "stripped_hash": lambda: F.md5(T.strip("text")), "text_hash": lambda: F.md5("text"), "prompt_hash": lambda: F.md5("prompt"),
+    "stripped_hash": lambda: F.md5(T.strip("text")), "text_hash": lambda: F.md5("text"), "prompt_hash": lambda: F.md5("prompt"), "n_chars": lambda: F.length(T.text_of("text")),
 }
 _COSTLY = {"n_words", "refusal", "stripped_hash"}
-_READS = {"src": "source_text_id", "n_words": "text", "refusal": "text", "text_hash": "text", "stripped_hash": "text", "prompt_hash": "prompt"}
+_READS = {"src": "source_text_id", "n_words": "text", "refusal": "text", "text_hash": "text", "stripped_hash": "text", "prompt_hash": "prompt", "n_chars": "text"}
 
 
 def corpus(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
@@ -114,6 +114,22 @@ def with_global_rank(df: DataFrame, order: str, name: str, buckets_by: F.Column
     return ranked.join(before, on).select(*[ranked[c] for c in df.columns], (F.col("_before") + F.col("_r")).cast("bigint").alias(name))
 
 
+def ranged_rank(df: DataFrame, order: list[str], name: str, part: list[str] | None = None) -> DataFrame:
+    """The 1-based rank in the order of some columns (within `part`), whatever values they have.
+
+    Rows are cut into ranges of about one size and written; the ranges' counts are added up in order, and rows are
+    numbered within their range. No task holds a large part; rows that agree in all columns are told apart at will.
+    """
+    part = part or []
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(tasks, *part, *order).withColumn("_b", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(*part, "_b").agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_before", F.sum("_c").over(W.partitionBy(*part).orderBy("_b")) - F.col("_c")).drop("_c")
+    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(*part, "_b").orderBy(*order)))
+    on = [ranked[c].eqNullSafe(before[c]) for c in [*part, "_b"]]
+    return ranked.join(before, on).select(*[ranked[c] for c in df.columns], (F.col("_before") + F.col("_r")).cast("bigint").alias(name))
+
+
 def id_synthesis(spark, d):
     c = corpus(spark, d, [])
     p = F.when(F.col("tbl") == "human_texts", "h").when(F.col("tbl") == "ai_texts", "a").otherwise("r")
@@ -124,8 +140,7 @@ def id_synthesis(spark, d):
 def first_seen_author_id(spark, d):
     """Dense running numbers of authors in the order of their first record (ties by name)."""
     a = corpus(spark, d, ["author_id"]).where("author_id is not null").groupBy("author_id").agg(F.min("at").alias("first"))
-    a = a.withColumn("h", F.concat(F.date_format("first", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("|"), F.col("author_id")))
-    return with_global_rank(a, "h", "n", F.date_format("first", "yyyy-MM-dd")).select("author_id", F.format_string("ax_%03d", "n").alias("new_author_id"))
+    return ranged_rank(a, ["first", "author_id"], "n").select("author_id", F.format_string("ax_%03d", "n").alias("new_author_id"))
 
 
 def stride_sample(spark, d, limit=100):

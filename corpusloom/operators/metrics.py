@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 
 from corpusloom.functions.text import NUDGE
 from corpusloom.keys import first_arrivals, key
-from corpusloom.operators.corpus import _K, CORPUS, corpus
-from corpusloom.session import table
+from corpusloom.operators.corpus import ranged_rank, _K, CORPUS, corpus
+from corpusloom.session import table, written
 
 CAP = 0.01
 BUCKETS = 4096
@@ -89,12 +89,20 @@ def roc_points(spark, d):
 
 
 def strict_fpr_sweep(spark, d, cap=CAP):
-    """Line by line from the highest score (ties by key): the last line before the human rate passes the cap."""
-    s = scores(spark, d).withColumn("h", 1 - F.col("y_true"))
-    n = s.groupBy("detector").agg(F.sum("y_true").alias("n1"), F.sum("h").alias("n0"))
-    r = _running(s, "detector", "y_score", [F.desc("y_score"), F.col("sid")], {"tp": "y_true", "fp": "h"}).join(n, "detector")
-    kept = r.where(F.col("fp") <= cap * F.col("n0"))
-    best = kept.groupBy("detector").agg(F.min("y_score").alias("threshold"), F.max("tp").alias("tp"), F.max("fp").alias("fp"), F.max("n1").alias("n1"), F.max("n0").alias("n0"))
+    """Line by line from the highest score (ties by key): the last line before the human rate passes the cap.
+
+    Scores count as a whole but for the one at which the cap is passed; of its lines those before the first human line
+    too many are kept, found by its rank, so that a score that very many lines share is no hot group.
+    """
+    s = scores(spark, d)
+    within = F.col("fp") <= cap * F.col("n0")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    whole = by_score(s).groupBy("detector").agg(F.max("n1").alias("n1"), F.max("n0").alias("n0"), F.min(F.when(within, F.col("y_score"))).alias("least"), n(F.max(F.when(within, F.col("tp")))).alias("tp"), n(F.max(F.when(within, F.col("fp")))).alias("fp"), F.max(F.when(~within, F.col("y_score"))).alias("passed"))
+    whole = written(whole, "scores")  # one row a detector
+    tied = s.join(whole.select("detector", F.col("passed").alias("y_score"), (F.floor(cap * F.col("n0")) - F.col("fp")).alias("allowed")), ["detector", "y_score"])
+    first = ranged_rank(tied.where("y_true = 0").select("detector", "sid", "allowed"), ["sid"], "r", ["detector"]).where(F.col("r") == F.col("allowed") + 1).select("detector", F.col("sid").alias("end"))
+    some = tied.join(first, "detector").where(F.col("sid") < F.col("end")).groupBy("detector").agg(F.sum("y_true").alias("p"), F.sum(1 - F.col("y_true")).alias("q"), F.min("y_score").alias("at"))
+    best = whole.join(some, "detector", "left").select("detector", F.coalesce("at", "least").alias("threshold"), (F.col("tp") + n("p")).alias("tp"), (F.col("fp") + n("q")).alias("fp"), "n1", "n0").where("threshold is not null")
     return best.select("detector", "threshold", F.round(_ratio(F.col("tp"), F.col("n1")) + NUDGE, 6).alias("tpr"), F.round(_ratio(F.col("fp"), F.col("n0")) + NUDGE, 6).alias("fpr"), F.round(_ratio(F.col("tp"), F.col("tp") + F.col("fp")) + NUDGE, 6).alias("precision"))
 
 

@@ -74,11 +74,16 @@ def group_keys(spark, d):
     return _groups(spark, d).select("id", F.col("g").alias("group_key"))
 
 
-def drop_small_groups(spark, d, least=2):
-    """Author groups with fewer records than `least` are dropped; other groups stay."""
+def drop_small_groups(spark, d, least=2, every=False):
+    """Author groups (or, with `every`, groups of any kind) with fewer records than `least` are dropped; other groups stay."""
     g = _groups(spark, d)
     n = g.groupBy("g").agg(F.count("*").alias("n"))
-    return g.join(n.where(~F.col("g").startswith("author|") | (F.col("n") >= least)), "g").select("id", "n")
+    kept = F.col("n") >= least
+    return g.join(n.where(kept if every else kept | ~F.col("g").startswith("author|")), "g").select("id", "n")
+
+
+def drop_every_small_group(spark, d):
+    return drop_small_groups(spark, d, every=True)
 
 
 def _dominant(g: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -111,7 +116,7 @@ def group_shuffle_split(spark, d, share=0.10):
     return g.join(s, "g").select("id", "new_split")
 
 
-def capped_per_domain(spark, d, most=50):
+def capped_per_domain(spark, d, most=600):
     """At most so many HC3 records of each domain, the first in the order of md5: a sampling operator."""
     c = corpus(spark, d, ["source", "domain"]).where("source = 'hc3'").select("k", "domain")
     return ordered(c, "k", "cap", ["domain"]).where(F.col("r") <= most).select(F.col("k").alias("id"), "domain", "r")
@@ -160,10 +165,11 @@ SQL = {
     "author_disjoint_split": f"{_W}, u as (select distinct author_id is not null as known, coalesce(author_id, k) as unit from corpus), o as (select *, row_number() over (partition by known order by md5('42:' || unit), unit) as r, count(*) over (partition by known) as n from u) select c.id, {_TRUNC} as new_split from corpus c join o on o.known = (c.author_id is not null) and o.unit = coalesce(c.author_id, c.k)",
     "group_keys": f"{_G} select id, g as group_key from g",
     "drop_small_groups": f"{_G}, n as (select g, count(*) as n from g group by 1) select g.id, n.n from g join n on n.g = g.g where n.g not like 'author|%' or n.n >= 2",
+    "drop_every_small_group": f"{_G}, n as (select g, count(*) as n from g group by 1) select g.id, n.n from g join n on n.g = g.g where n.n >= 2",
     "stratified_group_split": f"{_STRATA}, o as (select *, row_number() over (partition by stratum order by md5('42:' || g), g) as r, count(*) over (partition by stratum) as n from st) select g.id, o.stratum, {_ROUND} as new_split from g join o on o.g = g.g",
     "multi_seed_split": f"{_STRATA}, o as (select s.seed, st.*, row_number() over (partition by seed, stratum order by md5(s.seed::varchar || ':' || g), g) as r, count(*) over (partition by seed, stratum) as n from st cross join (select unnest(range(5))::int as seed) s) select seed, stratum, {_ROUND} as new_split, count(*) as n, min(g) as first_group from o group by 1, 2, 3".replace("count(*) as n, min(g)", "count(*) as n, min(g)"),
     "group_shuffle_split": f"{_G}, o as (select g, row_number() over (order by md5('7:' || g), g) as r, count(*) over () as n from (select distinct g from g)) select g.id, case when o.r <= ceil(n * 0.10::double) then 'val' else 'train' end as new_split from g join o on o.g = g.g",
-    "capped_per_domain": f"{_W}, o as (select k, domain, row_number() over (partition by domain order by md5('cap:' || k), k) as r from corpus where source = 'hc3') select k as id, domain, r from o where r <= 50",
+    "capped_per_domain": f"{_W}, o as (select k, domain, row_number() over (partition by domain order by md5('cap:' || k), k) as r from corpus where source = 'hc3') select k as id, domain, r from o where r <= 600",
     "text_components": f"""{_G.replace("with corpus", "with recursive corpus", 1)}, t as (select g.g, g.k, md5(c.text) as h from g join corpus c on c.k = g.k), f as (select h, min(g) as u from t where h is not null group by 1),
       e as (select distinct u, g as v from t join f using (h) where u <> g), b as (select u, v from e union select v, u from e), reach as (select distinct u as x, u as y from b union select reach.x, b.v from reach join b on b.u = reach.y),
       comp as (select x as g, min(y) as component from reach group by 1) select component, count(distinct t.g) as n_groups, count(*) as n_records from t join comp on comp.g = t.g group by 1""",

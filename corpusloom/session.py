@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Folders made for local sessions without a setting, by application.
 _own: dict[str, str] = {}
+#: Folders of written tables, by application.
+_folders: dict[str, str] = {}
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -42,10 +45,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the program ends, or by clear_written()."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_dir(spark)}/corpusloom-{app}"
+        atexit.register(_removed, spark, _folders[app])
+    return _folders[app]
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session has ended before: the folder stays
+        pass
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written: call it when no frame made so far is used any more."""
+    _removed(spark, own_folder(spark))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back: cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

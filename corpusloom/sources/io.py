@@ -23,7 +23,7 @@ EMPTY_IS_NULL = ("split", "domain", "author_id", "model", "source_text_id")
 
 
 class CorruptLines(ValueError):
-    """Lines that are no JSON, with their number and the first of them."""
+    """Lines that are no JSON: how many, and file, line number and text of the first."""
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -44,15 +44,35 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
         if not paths:
             return spark.createDataFrame([], schema)
     if bad == "report":
-        lines = spark.read.text(paths).where(F.trim("value") != "")
-        parsed = lines.select("value", F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", _S)]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-        n, first = parsed.where(F.col("r._bad").isNotNull()).agg(F.count("*"), F.min("value")).first()
+        lines = numbered(spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))).where(F.trim("value") != "")
+        parsed = lines.select("value", "_file", "_line", F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", _S)]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+        n, first = parsed.where(F.col("r._bad").isNotNull()).agg(F.count("*"), F.min(F.struct("_file", "_line", "value"))).first()
         if n:
-            raise CorruptLines(f"{n} lines are no JSON; the first in order is {first[:200]!r}")
+            raise CorruptLines(f"{n} lines are no JSON; the first is line {first['_line']} of {first['_file']}: {first['value'][:200]!r}")
         return parsed.select("r.*").drop("_bad")
     return spark.read.schema(schema).option("mode", {"fail": "FAILFAST", "drop": "DROPMALFORMED"}[bad]).json(paths)
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines of text files (value, _file, _start: where the block read begins) with _line, from 1 in each file; blank lines count.
+
+    A block's lines are numbered as they are read; only a block's number of lines is shuffled.
+    """
+    rows = lines.withColumn("_n", F.monotonically_increasing_id())
+    blocks = rows.groupBy("_file", "_start").agg(F.count("*").alias("_c"), F.min("_n").alias("_first"))
+    blocks = blocks.withColumn("_before", F.sum("_c").over(W.partitionBy("_file").orderBy("_start")) - F.col("_c")).drop("_c")
+    return rows.join(F.broadcast(blocks), ["_file", "_start"]).withColumn("_line", F.col("_before") + F.col("_n") - F.col("_first") + 1).drop("_n", "_first", "_before", "_start")
+
+
+def with_index(df: DataFrame, name: str) -> DataFrame:
+    """df with the 0-based index of its rows in the order in which it is read; only partitions' row counts are shuffled."""
+    rows = df.withColumn("_n", F.monotonically_increasing_id())
+    part = F.shiftright("_n", 33)
+    counts = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_before", F.sum("_c").over(W.orderBy("_p")) - F.col("_c")).drop("_c")  # one row a partition
+    return rows.join(F.broadcast(before), part == F.col("_p")).withColumn(name, F.col("_before") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))).drop("_n", "_p", "_before")
+
+
 def cleaned(df: DataFrame) -> DataFrame:
     """Empty strings as null in the columns for which that holds."""
     return df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in EMPTY_IS_NULL if c in df.columns})
@@ -68,10 +88,18 @@ def read_splits(spark: SparkSession, path: str, split: str | None = None) -> Dat
     return df if split is None else df.where(F.col("split") == split)
 
 
-def read_features(spark: SparkSession, path: str, keep: DataFrame | None = None) -> DataFrame:
-    """A feature table; absent columns are filled (id by row, source '?', style_ok false); with keep, only those ids."""
+def read_features(spark: SparkSession, path: str, keep: DataFrame | None = None, *, strict: bool = False) -> DataFrame:
+    """A feature table; absent columns are filled (id by the row's index, source '?', style_ok false); with keep, only those ids.
+
+    strict: an absent column raises.
+    """
     df = spark.read.option("mergeSchema", True).parquet(path)
-    fill = {"id": F.format_string("row_%d", F.monotonically_increasing_id()), "source": F.lit("?"), "style_ok": F.lit(False)}
+    absent = [c for c in ("id", "source", "style_ok") if c not in df.columns]
+    if strict and absent:
+        raise ValueError(f"{path} lacks " + ", ".join(absent))
+    if "id" in absent:
+        df = with_index(df, "_i").withColumn("id", F.col("_i").cast("string")).drop("_i")
+    fill = {"source": F.lit("?"), "style_ok": F.lit(False)}
     for name, value in fill.items():
         df = df.withColumn(name, F.coalesce(F.col(name), value) if name in df.columns else value)
     return df if keep is None else df.join(keep.select("id").distinct(), "id", "left_semi")
@@ -92,6 +120,34 @@ def read_results(spark: SparkSession, folder: str, schema: T.StructType, prefix:
     return df.withColumn("detector", F.regexp_replace(name, f"^{prefix}__", "") if prefix else name)
 
 
+def listing(spark: SparkSession, folder: str, suffix: str = "") -> list[str]:
+    """Names in a folder that end so, without the suffix, sorted; none where the folder isn't there."""
+    if not exists(spark, folder):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(n[: len(n) - len(suffix)] for n in names if n.endswith(suffix))
+
+
+def backed_up(spark: SparkSession, path: str) -> str | None:
+    """Moves what is at the path aside before it is written anew: to path.bak, .bak1 ...; None where there is nothing."""
+    if not exists(spark, path):
+        return None
+    n, to = 0, f"{path}.bak"
+    while exists(spark, to):
+        n, to = n + 1, f"{path}.bak{n + 1}"
+    jvm = spark._jvm.org.apache.hadoop.fs
+    p = jvm.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(p, jvm.Path(to)):
+        raise OSError(f"{path} can't be moved to {to}")
+    return to
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """Each row as a line of JSON in a column `value`; nulls are kept."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def pending(todo: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """What is left to do: rows of todo whose key isn't in done."""
     return todo.join(done.select(key).distinct(), key, "left_anti")
