@@ -173,7 +173,7 @@ def mcnemar_p(b: int, c: int) -> float:
 
 def mcnemar_test(spark, d):
     rows = mcnemar_counts(spark, d).collect()  # one row for each pair of detectors
-    return spark.createDataFrame([(r["one"], r["two"], r["b"], r["c"], mcnemar_p(r["b"], r["c"])) for r in rows], "one string, two string, b bigint, c bigint, p double")
+    return spark.createDataFrame([(r["one"], r["two"], r["b"], r["c"], round(mcnemar_p(r["b"], r["c"]), 9)) for r in rows], "one string, two string, b bigint, c bigint, p double")
 
 
 def vote_contested(spark, d):
@@ -287,6 +287,8 @@ SQL = {
     "mean_std_over_seeds": f"{_W}, x as (select *, ('0x' || substr(md5(sid), 1, 4))::int % 5 as seed from s), m as (select {_RATES} from {_CONF('x', 'detector, seed')}) select detector, count(*) as seeds, round(avg(accuracy) + 1e-9, 5) as mean_accuracy, round(stddev_samp(accuracy) + 1e-9, 5) as std_accuracy, round(avg(macro_f1) + 1e-9, 5) as mean_macro_f1, round(stddev_samp(macro_f1) + 1e-9, 5) as std_macro_f1 from m group by 1",
     "model_agreement": f"{_W}, {_PAIRS} select a.detector as one, b.detector as two, count(*) as n, round(avg((a.y_pred = b.y_pred)::int) + 1e-9, 6) as agreement from u a join u b on a.k = b.k and a.detector < b.detector group by 1, 2",
     "mcnemar_counts": f"{_W}, {_PAIRS} select a.detector as one, b.detector as two, count(*) filter (a.y_pred = a.y_true and b.y_pred <> b.y_true) as b, count(*) filter (a.y_pred <> a.y_true and b.y_pred = b.y_true) as c from u a join u b on a.k = b.k and a.detector < b.detector group by 1, 2",
+    "mcnemar_test": f"""{_W}, {_PAIRS}, m as (select a.detector as one, b.detector as two, count(*) filter (a.y_pred = a.y_true and b.y_pred <> b.y_true) as b, count(*) filter (a.y_pred <> a.y_true and b.y_pred = b.y_true) as c from u a join u b on a.k = b.k and a.detector < b.detector group by 1, 2)
+      select *, case when b + c = 0 then 1.0 else round(least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 9) end as p from m""",
     "vote_contested": f"{_W}, v as (select k, sum(y_pred) as votes, count(*) as n from s where k is not null group by 1 having count(*) > 1) select k as id, votes, n, votes between floor(0.3::double * n) and floor(0.7::double * n) as contested from v",
     "score_histogram": f"{_W}, r as (select detector, y_true, min(y_score) as lo, max(y_score) as hi from s group by 1, 2) select detector, y_true, (case when hi > lo then least(floor((y_score - lo) / (hi - lo) * 30), 29) else 0 end)::int as bin, count(*) as n from s join r using (detector, y_true) group by 1, 2, 3",
     "score_squash": f"with z as (select sid, z, n_tokens from (select {_K.format(c='score_id')} as sid, json_extract_string(raw, '$.z')::double as z, json_extract_string(raw, '$.n_tokens')::int as n_tokens, row_number() over (partition by {_K.format(c='score_id')} order by scored_at) as rn from detector_scores) where rn = 1 and sid is not null and z is not null) select sid as score_id, n_tokens, round(1 / (1 + exp(-z)) + 1e-9, 6) as sigmoid, round(greatest(0.0::double, least(1.0::double, z)) + 1e-9, 6) as clamped, case when z <> -1 then round(1 / (1 + z) + 1e-9, 4) end as inverse, case when z >= 0 then 'ai' else 'human' end as label from z",
@@ -295,4 +297,4 @@ SQL = {
     "leaderboard": f"{_W}, {_BY}, {_AUC}, m as (select {_RATES} from {_CONF('s', 'detector')}) select detector, macro_f1, accuracy, auc, row_number() over (order by macro_f1 desc nulls last, detector) as place from m left join auc using (detector) order by macro_f1 desc nulls last, detector limit 10",
     "score_spread": f"{_W}, m as (select {_RATES} from {_CONF('s', 'detector')}) select round(max(macro_f1) - min(macro_f1), 6) as spread, count(*) filter (macro_f1 >= 0.99) as at_ceiling, arg_max(detector, row(macro_f1, detector)) as best from m",
 }
-QUERIES = {n: globals()[n] for n in [*SQL, "mcnemar_test", "bootstrap_ci"]}
+QUERIES = {n: globals()[n] for n in [*SQL, "bootstrap_ci"]}

@@ -1,32 +1,43 @@
 """Classifiers over feature vectors by MLlib, class weights, oversampling, importances and the fusion of blocks.
 
-What MLlib has no counterpart for: an RBF kernel (svm is linear, without probabilities), histogram boosting (gbt stands
-for hist_gbm, gradient_boosting and xgboost, with the settings of the last), trees deeper than 30, Adam and early stopping.
+What MLlib has no counterpart for: an RBF kernel (svm is linear, without probabilities), trees deeper than 30, Adam and
+early stopping. gbt stands for hist_gbm, gradient_boosting and xgboost, with the settings of the last: boosting.py fits it
+in one task up to 50,000 rows, MLlib beyond.
 """
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml import Pipeline
-from pyspark.sql import DataFrame
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.session import table
+from corpusloom.operators import boosting
+from corpusloom.operators.corpus import with_global_rank
+from corpusloom.session import table, written
+from corpusloom.sources.io import exists
+
 
+#: Rows of a partition of training data, and fits that a sweep has under way at a time.
+ROWS, AT_ONCE = 50_000, 8
 
-def backends(width: int, seed: int = 42) -> dict:
-    """Name -> estimator; fixed settings as far as MLlib has them."""
+
+def backends(width: int, seed: int = 42, total: float = 1000.0, c: float = 1.0) -> dict:
+    """Name -> estimator; fixed settings as far as MLlib has them. total: the sum of the weights, which c is held against."""
     common = {"featuresCol": "features", "labelCol": "y"}
     return {
-        "logreg": LogisticRegression(**common, weightCol="weight", maxIter=2000, regParam=0.001),
+        "logreg": LogisticRegression(**common, weightCol="weight", maxIter=2000, regParam=1 / (c * total)),
         "random_forest": RandomForestClassifier(**common, weightCol="weight", numTrees=400, maxDepth=30, seed=seed),
         "gbt": GBTClassifier(**common, weightCol="weight", maxIter=400, maxDepth=6, stepSize=0.1, subsamplingRate=0.9, seed=seed),
-        "svm": LinearSVC(**common, weightCol="weight", maxIter=50, regParam=0.001),
+        "svm": LinearSVC(**common, weightCol="weight", maxIter=50, regParam=1 / (c * total)),
         "mlp": MultilayerPerceptronClassifier(**common, layers=[width, 256, 128, 2], maxIter=300, seed=seed),
     }
 
@@ -39,25 +50,60 @@ def weighted(df: DataFrame, y: str = "y") -> DataFrame:
 
 
 def oversampled(df: DataFrame, k: str, y: str = "y", seed: str = "42") -> DataFrame:
-    """df with rows of smaller classes repeated: whole copies, and by hash the fraction that is left of the largest class's size."""
+    """df with rows of smaller classes repeated to the largest class's size exactly: whole copies, and once more the first by hash."""
     n = df.groupBy(y).agg(F.count("*").alias("_n"))
-    n = n.select(y, (F.max("_n").over(W.partitionBy()) / F.col("_n")).alias("_times"))  # one row a class
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(k)), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor("_times") + (u < F.col("_times") - F.floor("_times")).cast("int")
-    return df.join(F.broadcast(n), y).withColumn("_copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_times", "_copy")
+    n = n.select(y, "_n", F.max("_n").over(W.partitionBy()).alias("_most"))  # one row a class
+    hashed = df.withColumn("_h", F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.col(k).cast("string"))), F.col(k).cast("string")))
+    ranked = with_global_rank(hashed, "_h", "_rank", part=[y]).join(F.broadcast(n), y)
+    times = F.floor(F.col("_most") / F.col("_n")) + (F.col("_rank") <= F.col("_most") % F.col("_n")).cast("int")
+    return ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*df.columns)
+
+
+def available() -> list[str]:
+    """Names of the backends."""
+    return sorted(backends(1))
 
 
 def fit(train: DataFrame, backend: str, width: int, seed: int = 42):
     """A pipeline of scaler and classifier over `x` (array) and `y` (0 or 1)."""
-    known = backends(width, seed)
-    if backend not in known:
-        raise ValueError(f"unknown backend {backend!r}: {sorted(known)}")
-    rows = weighted(train.select(array_to_vector(F.col("x").cast("array<double>")).alias("raw"), "y"))
-    return Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), known[backend]]).fit(rows)
+    if backend not in available():
+        raise ValueError(f"unknown backend {backend!r}: {available()}")
+    n = train.count()
+    if backend == "gbt" and 0 < n <= boosting.IN_ONE_TASK:
+        return boosting.fit(weighted(train.select("x", "y")), seed)
+    rows = weighted(train.select(array_to_vector(F.col("x").cast("array<double>")).alias("raw"), "y")).coalesce(max(1, -(-n // ROWS)))
+    return Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), backends(width, seed, max(n, 1))[backend]]).fit(rows)
+
+
+def fit_all(train: DataFrame, jobs: list[tuple[str, int]], width: int) -> list:
+    """Models of (backend, seed), several under way at a time: rounds of small jobs leave most of a cluster idle."""
+    train = written(train.select("x", "y"), "train")
+    return parallel([lambda b=b, s=s: fit(train, b, width, s) for b, s in jobs])
+
+
+def parallel(calls: list) -> list:
+    with ThreadPool(min(AT_ONCE, max(1, len(calls)))) as pool:
+        return pool.map(inheritable_thread_target(lambda call: call()), calls)
+
+
+def save(model, path: str) -> None:
+    if isinstance(model, boosting.Boosted):
+        return model.save(SparkSession.active(), path)
+    model.write().overwrite().save(path)
+
+
+def load(path: str):
+    """A model as save() wrote it; predict() gives the same with it."""
+    spark = SparkSession.active()
+    if not exists(spark, f"{path}/metadata"):
+        return boosting.load(spark, path)
+    return PipelineModel.load(path)
 
 
 def predict(model, rows: DataFrame) -> DataFrame:
     """rows with p_ai (where the classifier has probabilities) and y_pred."""
+    if isinstance(model, boosting.Boosted):
+        return model.transform(rows)
     out = model.transform(rows.withColumn("raw", array_to_vector(F.col("x").cast("array<double>"))))
     p = vector_to_array("probability")[1] if "probability" in out.columns else F.lit(None).cast("double")
     return out.select(*rows.columns, p.alias("p_ai"), F.col("prediction").cast("int").alias("y_pred"))
@@ -82,6 +128,8 @@ def _scores(backend):
 
 def importances(model, width: int) -> np.ndarray:
     """Of the features, summing to 1: what trees have, absolute weights else."""
+    if isinstance(model, boosting.Boosted):
+        return model.importances()
     c = model.stages[-1]
     if hasattr(c, "featureImportances"):
         return c.featureImportances.toArray()
@@ -100,15 +148,15 @@ def topk_features(spark, d, k=10):
     """How many backends have a feature among their first k, and its mean importance there."""
     e = labelled(spark, d)
     width = e.select(F.max(F.size("x"))).first()[0] or 1
-    rows = []
-    for b in ("logreg", "random_forest", "gbt", "svm"):
-        w = importances(fit(e, b, width), width)
+    rows, names = [], ("logreg", "random_forest", "gbt", "svm")
+    for b, m in zip(names, fit_all(e, [(b, 42) for b in names], width), strict=True):
+        w = importances(m, width)
         rows += [(b, int(i), float(w[i])) for i in np.argsort(-w, kind="stable")[:k]]
     t = spark.createDataFrame(rows, "backend string, dim int, importance double")
     return t.groupBy("dim").agg(F.count("*").alias("n"), F.round(F.avg("importance"), 6).alias("mean_importance"))
 
 
-def permutation_importance(spark, d, repeats=3):
+def permutation_importance(spark, d, repeats=10):
     """Loss of accuracy when one block of the vectors is taken from another row; rows are paired by rank in an order by hash."""
     from corpusloom.operators.features import BLOCKS
     from corpusloom.operators.splits import ordered
@@ -134,11 +182,10 @@ def seed_sweep(spark, d, seeds=range(5), names=("logreg", "random_forest", "gbt"
     """Accuracy on the hold-out by backend and seed."""
     e = labelled(spark, d)
     width = e.select(F.max(F.size("x"))).first()[0] or 1
-    out = []
-    for b in names:
-        for s in seeds:
-            p = predict(fit(e.where("not held"), b, width, s), e.where("held"))
-            out.append((b, s, float(p.agg(F.avg((F.col("y") == F.col("y_pred")).cast("double"))).first()[0] or 0.0)))
+    jobs = [(b, s) for b in names for s in seeds]
+    models = fit_all(e.where("not held"), jobs, width)
+    right = lambda m: float(predict(m, e.where("held")).agg(F.avg((F.col("y") == F.col("y_pred")).cast("double"))).first()[0] or 0.0)
+    out = [(b, s, a) for (b, s), a in zip(jobs, parallel([lambda m=m: right(m) for m in models]), strict=True)]
     return spark.createDataFrame(out, "backend string, seed int, accuracy double")
 
 
@@ -187,4 +234,4 @@ def projection(spark, d):
 
 
 QUERIES = {"logreg_scores": _scores("logreg"), "svm_scores": _scores("svm"), "forest_importance": forest_importance, "topk_features": topk_features, "permutation_importance": permutation_importance, "seed_sweep": seed_sweep, "oversample": oversample, "projection": projection}
-SQL: dict[str, str] = {}
+SQL = {"oversample": "with c as (select (label <= 2)::int as y, count(*) as n from embeddings group by 1) select y, max(n) over () as n, n as n_distinct from c"}
