@@ -201,15 +201,17 @@ def sentence_areas(model: np.ndarray, batch: pa.RecordBatch, k: int) -> tuple[np
     theta, r = infer(model, cells[term], doc[term], np.ones((n, k), np.float32))
     n_sent = int(sentence[-1]) + 1 if len(sentence) else 0
     score = np.zeros((n_sent, k), np.float32)
-    np.add.at(score, sentence[term], r)
+    own = sentence[term]  # rising
+    if len(own):
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        score[own[first]] = np.add.reduceat(r, first, axis=0)
     has_words = np.bincount(sentence[cells != -1], minlength=n_sent) > 0 if n_sent else np.zeros(0, bool)
     owner = np.zeros(n_sent, np.int64)
     owner[sentence] = doc
     best = score[:, : k - 1].argmax(1) if n_sent else np.zeros(0, np.int64)
     enough = score[np.arange(n_sent), best] >= EVIDENCE
     topic = np.where(enough, best, k - 1)
-    out = np.zeros((n, k), np.int64)
-    np.add.at(out, (owner[has_words], topic[has_words]), 1)
+    out = np.bincount(owner[has_words] * k + topic[has_words], minlength=n * k).reshape(n, k)
     return out, out.sum(1)
 
 
