@@ -82,9 +82,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def read_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """A table partitioned by split: one split (other folders aren't scanned) or all."""
-    df = spark.read.parquet(path)
+def read_splits(spark: SparkSession, path: str, split: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """A table partitioned by split: one split (other folders aren't scanned) or all. With a schema it may be empty."""
+    df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     return df if split is None else df.where(F.col("split") == split)
 
 

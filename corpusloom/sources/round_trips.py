@@ -65,8 +65,9 @@ def csv_round_trip(spark, d):
 def split_folders(spark, d):
     """One folder for each split, of which one is read."""
     path = _path(spark, "splits")
-    io.write_splits(text_records(spark, d, ["id", "split"]).select("tbl", "id", split_name("split").alias("split")), path)
-    return io.read_splits(spark, path, "test").select("tbl", "id")
+    rows = text_records(spark, d, ["id", "split"]).select("tbl", "id", split_name("split").alias("split"))
+    io.write_splits(rows, path)
+    return io.read_splits(spark, path, "test", rows.schema).select("tbl", "id")
 
 
 def first_file_wins(spark, d):
